@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("exact_dedup", "gif_media", "sharding")
+_MODULES = ("exact_dedup", "gif_media", "sharding", "bpe")
 
 
 def queries() -> dict:
