@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scratch import checkpoint_root, materialise  # noqa: F401
+
 #: Rows and bytes of one Arrow batch handed to Python; long texts make the byte bound the one that counts.
 BATCH_ROWS, BATCH_BYTES = "2000", str(4 << 20)
 
@@ -35,34 +34,6 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where none is set (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = getattr(spark.sparkContext, "_shoebox_scratch", None) or tempfile.mkdtemp(prefix="shoebox-")
-        spark.sparkContext._shoebox_scratch = root
-    return root.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared checkpoint folder and read it back: cuts lineage,
-    survives lost executors, and later plans see real sizes. The table goes when the driver ends."""
-    spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _delete_on_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _delete_on_exit(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    try:
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    except Exception:  # a store without the feature keeps the scratch table; results don't depend on it
-        atexit.register(lambda: None)
-
-
 def spark_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
