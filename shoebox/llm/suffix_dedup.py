@@ -418,10 +418,10 @@ def spans_of(windows: np.ndarray, size: int) -> list[tuple[int, int]]:
     return spans
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, kept binary"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, kept {}"
 
 
-def _remove(batches):
+def _remove(batches, as_text: bool):
     for batch in batches:
         rows = []
         for doc, text, blobs in zip(*(c.to_pylist() for c in batch.columns)):
@@ -432,13 +432,15 @@ def _remove(batches):
                 kept.append(raw[at:a])
                 at = b
             rows.append((doc, len(raw), sum(b - a for a, b in spans), len(spans), [{"start": a, "end": b} for a, b in spans], b"".join([*kept, raw[at:]])))
+            if as_text:  # a character that a cut has halved goes
+                rows[-1] = (*rows[-1][:-1], rows[-1][-1].decode("utf-8", "ignore"))
         if rows:
-            kinds = [pa.int64()] * 4 + [pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
+            kinds = [pa.int64()] * 4 + [pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string() if as_text else pa.binary()]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, spans and kept (the remaining bytes) for each row."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, spans and kept (the remaining bytes, or the remaining text) for each row."""
     n = spark_partitions(docs.sparkSession)
     source = ids_and_texts(docs, id_col, text_col)
     dealt = arrow_map(source, partial(_find_anchors, buckets=n), "bucket int, kind int, blob binary").repartition(n, "bucket").sortWithinPartitions("bucket")
@@ -447,7 +449,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs = arrow_map(source.join(repeated.hint("merge"), "doc_id").select("doc_id", "text", "blobs"), partial(_cut_contexts, buckets=n), "bucket int, kind int, blob binary")
     windows = arrow_map(runs.repartition(n, "bucket").sortWithinPartitions("bucket"), _merge, "doc_id long, blob binary").groupBy("doc_id").agg(F.collect_list("blob").alias("blobs"))
     joined = source.join(windows.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("blobs", F.array().cast("array<binary>")).alias("blobs"))
-    return arrow_map(joined, _remove, RESULT).withColumn("doc_id", real_id())
+    return arrow_map(joined, partial(_remove, as_text=as_text), RESULT.format("string" if as_text else "binary")).withColumn("doc_id", real_id())
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

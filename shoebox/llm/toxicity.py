@@ -25,11 +25,11 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, ids_and_texts, read_table, real_id
+from ._common import bound_batches, ids_and_texts, read_table, real_id
 
 SPAN, DECAY, CLASSES = 6, 0.6, 64
 SAMPLE, SAMPLE_CHARS = 3000, 20_000
@@ -241,28 +241,35 @@ _memo: dict[str, float] = {}
 _memo_of: list = [None]
 
 
-def _scores(batches, shared):
-    model = shared.value
+def _score_texts(model: Model | None, texts: list[str]) -> list[float]:
+    if model is None:
+        return [0.0] * len(texts)
     if _memo_of[0] is not model:
         _memo.clear()
         _memo_of[0] = model
-    for batch in batches:
-        ids, scores = batch.column(0).to_pylist(), []
-        for text in batch.column(1).to_pylist():
-            if model is None:
-                scores.append(0.0)
-                continue
-            found = chunks_of(text)
-            fresh = [c for c in found if c not in _memo]
-            if fresh:
-                if len(_memo) > MEMO:
-                    _memo.clear()
-                    fresh = list(found)
-                _remember(model, fresh)
-            best = max(map(_memo.__getitem__, found), default=NO_EVIDENCE)
-            scores.append(round(model.probability(best), 9))
-        if ids:
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+    scores = []
+    for text in texts:
+        found = chunks_of(text)
+        fresh = [c for c in found if c not in _memo]
+        if fresh:
+            if len(_memo) > MEMO:
+                _memo.clear()
+                fresh = list(found)
+            _remember(model, fresh)
+        best = max(map(_memo.__getitem__, found), default=NO_EVIDENCE)
+        scores.append(round(model.probability(best), 9))
+    return scores
+
+
+def score_column(spark: SparkSession, model: Model | None, text_col: str = "text"):
+    """The score as a column, so that a filter needs no join."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(_score_texts(shared.value, texts.tolist()), dtype="float64")
+
+    return score(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def _remember(model: Model, chunks: list[str]) -> None:
@@ -279,8 +286,9 @@ def _remember(model: Model, chunks: list[str]) -> None:
 
 def score_toxicity(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted for each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = arrow_map(ids_and_texts(docs, id_col, text_col), lambda b: _scores(b, shared), "doc_id long, score double")
+    out = ids_and_texts(docs, id_col, text_col)
+    bound_batches(docs.sparkSession)
+    out = out.select("doc_id", score_column(docs.sparkSession, model).alias("score"))
     return out.select(real_id().alias("doc_id"), F.coalesce(held_out() & real_id().isNotNull(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
