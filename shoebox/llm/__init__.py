@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("exact_dedup", "gif_media", "sharding", "bpe", "packing", "toxicity", "ngram_join", "suffix_dedup")
+_MODULES = ("exact_dedup", "gif_media", "sharding", "bpe", "packing", "toxicity", "ngram_join", "suffix_dedup", "language_id")
 
 
 def queries() -> dict:
