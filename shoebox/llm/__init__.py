@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("exact_dedup", "gif_media", "sharding", "bpe", "packing", "toxicity", "ngram_join", "suffix_dedup", "language_id")
+_MODULES = ("exact_dedup", "gif_media", "sharding", "bpe", "packing", "toxicity", "ngram_join", "suffix_dedup", "language_id", "quality")
 
 
 def queries() -> dict:
