@@ -16,3 +16,10 @@ def query(name: str, sql: str | None = None):
         return fn
 
     return keep
+
+
+def load() -> tuple[dict, dict]:
+    """All registered queries and their SQL."""
+    from . import queries  # noqa: F401
+
+    return QUERIES, SQL
