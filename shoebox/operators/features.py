@@ -166,18 +166,18 @@ def analysis(height: Column, width: Column, channels: Column, data: Column, orie
     return run(height, width, channels, data, orientation)
 
 
-def thumb_quality(height: Column, width: Column, data: Column) -> Column:
-    """I-09 over thumbnail pixels (RGB bytes); nothing where they are gone."""
-
-    @F.pandas_udf(QUALITY)
-    def run(h: pd.Series, w: pd.Series, d: pd.Series) -> pd.DataFrame:
-        rows = [quality(np.frombuffer(x, np.uint8).reshape(int(a), int(b), 3)) if x is not None else {"sharpness": 0.0, "exposure": 0.0, "contrast": 0.0, "eyes_open": None, "has_face": False} for a, b, x in zip(h, w, d)]
-        return pd.DataFrame({n: pd.Series([r[n] for r in rows], dtype=object) for n in ("sharpness", "exposure", "contrast", "eyes_open", "has_face")})
-
-    return run(height, width, data)
-
-
 def analyse_images(images: DataFrame, side: int = 256) -> DataFrame:
     """images (file_id, height, width, nChannels, data, orientation) with the columns of ANALYSIS."""
     found = analysis(F.col("height"), F.col("width"), F.col("nChannels"), F.col("data"), F.col("orientation"), side)
     return images.select("file_id", found.alias("a")).select("file_id", "a.*")
+
+
+def analysis_quality(images: DataFrame) -> DataFrame:
+    """I-09: images (file_id, height, width, nChannels, data) to (file_id, sharpness, exposure, contrast, eyes_open, has_face)."""
+
+    def run(h: pd.Series, w: pd.Series, c: pd.Series, d: pd.Series) -> pd.DataFrame:
+        rows = [quality(pixels(int(a), int(b), int(n), x)) for a, b, n, x in zip(h, w, c, d)]
+        return pd.DataFrame({n: pd.Series([r[n] for r in rows], dtype=object) for n in ("sharpness", "exposure", "contrast", "eyes_open", "has_face")})
+
+    udf = F.pandas_udf(run, QUALITY)
+    return images.where("height > 0 AND data IS NOT NULL").select("file_id", udf("height", "width", "nChannels", "data").alias("q")).select("file_id", "q.*")
