@@ -29,6 +29,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +39,8 @@ from ._shingles import mix
 U = np.uint64
 LENGTH, GRAM = 100, 32
 SPREAD = LENGTH - GRAM  # an anchor lies 0 to 68 bytes behind its window's start
-CHUNK = 4 << 20  # bytes that are hashed together
-FLUSH_ANCHORS, FLUSH_CONTEXTS = 1 << 19, 1 << 16
+CHUNK = 1 << 20  # bytes that are hashed together
+FLUSH_ANCHORS, FLUSH_CONTEXTS = 1 << 18, 1 << 16
 _rng = np.random.default_rng(811)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
 _FACTOR = 0x9E3779B97F4A7C15
@@ -194,15 +195,15 @@ def front_code(entries: list[tuple]) -> bytes:
         before = key
     head = np.array([n], np.int64).tobytes()
     columns = [np.array([e[2] for e in entries], np.int64), np.array([e[3] for e in entries], np.int64), np.array([len(k) for k in keys], np.uint8), np.array([e[1] for e in entries], np.uint8), shared]
-    return head + b"".join(c.tobytes() for c in columns) + b"".join(tails)
+    return zstandard.compress(head + b"".join(c.tobytes() for c in columns) + b"".join(tails), 3)
 
 
 def read_run(blob: bytes):
     """Yield (key, prefix shared with the key before, right length, doc, packed) of a front-coded run."""
+    blob = zstandard.decompress(blob)
     n = int(np.frombuffer(blob[:8], np.int64)[0])
-    doc = np.frombuffer(blob, np.int64, n, 8).tolist()
-    packed = np.frombuffer(blob, np.int64, n, 8 + 8 * n).tolist()
     at = 8 + 16 * n
+    doc, packed = (memoryview(blob)[a : a + 8 * n].cast("q") for a in (8, 8 + 8 * n))
     sizes, right, shared = blob[at : at + n], blob[at + n : at + 2 * n], blob[at + 2 * n : at + 3 * n]
     at += 3 * n
     key = b""
