@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from ._common import arrow_map, ids_and_texts, read_table, real_id
 
 LENGTH, END_ID = 4096, 2
+#: Penalties in tokens of padding, and the longest stretch without a place to cut, for windows of LENGTH; others in proportion.
 SENTENCE_PENALTY, INSIDE_PENALTY, STRETCH, CHAPTER = 4, 64, 256, 1 << 19
 
 #: Fixed value: the word pattern of the tokenizer file. It holds for texts in the scripts below EXOTIC.
@@ -115,14 +116,14 @@ def choose_cuts(places: np.ndarray, penalties: np.ndarray, length: int) -> list[
 def candidates(ids: np.ndarray, ends: np.ndarray, ends_sentence: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Places where a stream may be cut (token counts) and their penalties; `ends` are document ends."""
     n = len(ids)
-    cost = np.full(n + 1, INSIDE_PENALTY, np.int64)
+    cost = np.full(n + 1, INSIDE_PENALTY * length / LENGTH)
     sentence = np.flatnonzero(ends_sentence[np.minimum(ids, len(ends_sentence) - 1)]) + 1
-    cost[sentence] = SENTENCE_PENALTY
+    cost[sentence] = SENTENCE_PENALTY * length / LENGTH
     cost[ends] = 0
     cost[n] = 0
     good = np.unique(np.concatenate([sentence, ends, [n]]))
     gaps = np.diff(np.concatenate([[0], good]))
-    step = min(STRETCH, length)
+    step = max(1, STRETCH * length // LENGTH)
     wide = np.flatnonzero(gaps > step)
     extra = [np.arange(good[g] - gaps[g] + step, good[g], step) for g in wide]
     places = np.unique(np.concatenate([good, *extra])) if extra else good
