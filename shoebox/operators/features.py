@@ -140,10 +140,12 @@ QUALITY = "sharpness double, exposure double, contrast double, eyes_open double,
 
 def _analyse(height, width, channels, data, orientation, side: int) -> dict:
     try:
-        rgb = pixels(height, width, channels, data)
+        if data is None:  # a column with nulls arrives as floats, so sizes are cast below
+            return {"error": "cannot decode"}
+        rgb = pixels(int(height), int(width), int(channels), data)
         if rgb is None:
             return {"error": "cannot decode"}
-        rgb = np.ascontiguousarray(oriented(rgb, orientation))
+        rgb = np.ascontiguousarray(oriented(rgb, None if pd.isna(orientation) else int(orientation)))
         gray = to_gray(rgb)
         small = thumbnail(rgb, side)
         return {
