@@ -5,7 +5,7 @@ DECAY to its span (spans up to SPAN); so `stu-pid`, `stuxpid` and `stupid` stay
 letters between two edge marks; punctuation inside it falls out, and letters written apart with spaces are joined.
 
 Training: labelled sentences are bags of words. Landmarks are words that tell the labels apart and common
-clean words. Words are mapped to Nystroem features K(w, L) K(L, L)^-1/2 and a linear SVM (hinge loss) is
+clean words; rare ones count by the beginning that they share. Words are mapped to Nystroem features K(w, L) K(L, L)^-1/2 and a linear SVM (hinge loss) is
 fitted in rounds: toxic texts are represented by words that they hold far oftener than clean ones, clean texts
 by their common words and, from round to round, by those that score highest. As the triples are countable, the fitted machine collapses to one weight
 for each triple, so scoring a word is a sum of table look-ups. A sentence scores as its worst word, a text as its worst
@@ -33,7 +33,7 @@ from ._common import bound_batches, ids_and_texts, read_table, real_id
 
 SPAN, DECAY, CLASSES = 6, 0.6, 64
 SAMPLE, SAMPLE_CHARS = 3000, 20_000
-LANDMARKS, ROUNDS, CALIBRATION, ODDS = 320, 4, 4, 3.0
+LANDMARKS, ROUNDS, CALIBRATION, ODDS, HEAD = 320, 4, 4, 3.0, 4
 WINDOW, STEP = 24, 16  # longer letter runs are scored by overlapping windows
 MEMO = 500_000
 APART = re.compile(r"(?<!\S)(?:\w[.\-_*]* ){3,}\w(?!\w)")
@@ -159,6 +159,19 @@ def _fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float =
     return w[:-1], float(w[-1])
 
 
+def _families(toxic: list[list[str]], clean: list[list[str]], known: set[str], in_clean: Counter) -> list[str]:
+    """Words of toxic texts that hold no known one, too rare by themselves but with a beginning that such texts share."""
+    heads = lambda bag: {w[:HEAD] for w in bag if len(w) > HEAD}
+    left = [bag for bag in toxic if not known.intersection(bag)]
+    in_left, in_rest = Counter(h for bag in left for h in heads(bag)), Counter(h for bag in clean for h in heads(bag))
+    good = set()
+    for h, n in in_left.items():
+        rare = np.log((n - np.sqrt(n) + 0.5) / (len(left) + 1)) - np.log((in_rest[h] + 0.5) / (len(clean) + 1))
+        if n >= 3 and rare > ODDS:
+            good.add(h)
+    return sorted({w for bag in left for w in bag if w[:HEAD] in good and len(w) > HEAD and not in_clean[w]})
+
+
 def train(toxic: list[list[str]], clean: list[list[str]]) -> Model | None:
     """Fit on bags of words: toxic and clean texts as lists of their distinct units. One text in CALIBRATION
     is kept back from the machine and sets the sigmoid, so that words never seen before count."""
@@ -169,7 +182,9 @@ def train(toxic: list[list[str]], clean: list[list[str]]) -> Model | None:
     in_toxic, in_clean = Counter(w for bag in toxic for w in bag), Counter(w for bag in clean for w in bag)
     odds = {w: np.log((n - np.sqrt(n) + 0.5) / (len(toxic) + 1)) - np.log((in_clean[w] + 0.5) / (len(clean) + 1)) for w, n in in_toxic.items()}
     least = min(max(3, 0.004 * len(toxic)), len(toxic))
-    telling = sorted((w for w in odds if odds[w] > ODDS and in_toxic[w] >= least), key=lambda w: (-in_toxic[w], w)) or sorted(odds, key=lambda w: (-odds[w], w))[:5]
+    telling = sorted((w for w in odds if odds[w] > ODDS and in_toxic[w] >= least), key=lambda w: (-in_toxic[w], w))
+    telling += _families(toxic, clean, set(telling), in_clean)
+    telling = telling or sorted(odds, key=lambda w: (-odds[w], w))[:5]
     landmarks = telling[: LANDMARKS // 2]
     common = [w for w, _ in sorted(in_clean.items(), key=lambda x: (-x[1], x[0])) if w not in set(landmarks)]
     landmarks += common[: LANDMARKS - len(landmarks)]
