@@ -72,14 +72,14 @@ def nfc(text: Column | str) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    """F-10: B, KB, MB, GB; nothing or zero is a dash."""
+    """F-10: B, KB, MB, GB, halves to even; nothing or zero is a dash."""
     n = n.cast("double")
     return (
         F.when(n.isNull() | (n == 0), "-")
         .when(n < 1024, F.format_string("%.0f B", n))
-        .when(n < 1024**2, F.format_string("%.1f KB", n / 1024))
-        .when(n < 1024**3, F.format_string("%.1f MB", n / 1024**2))
-        .otherwise(F.format_string("%.1f GB", n / 1024**3))
+        .when(n < 1024**2, F.format_string("%.1f KB", F.bround(n / 1024, 1)))
+        .when(n < 1024**3, F.format_string("%.1f MB", F.bround(n / 1024**2, 1)))
+        .otherwise(F.format_string("%.1f GB", F.bround(n / 1024**3, 1)))
     )
 
 
