@@ -36,9 +36,9 @@ def upsert(files: DataFrame, seen: DataFrame) -> DataFrame:
     )
     from .dedup import number_groups
 
-    last = files.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
-    fresh = number_groups(changes.where("status = 'new'"), "path").crossJoin(F.broadcast(last))  # `last` is one row
-    fresh = fresh.select((F.col("last") + F.col("group_id")).alias("id"), "path", F.col("new_size").alias("size"), F.col("new_mtime").alias("mtime"), F.col("new_format").alias("format"))
+    last = files.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    fresh = number_groups(changes.where("status = 'new'"), "path")
+    fresh = fresh.select((F.lit(last) + F.col("group_id")).alias("id"), "path", F.col("new_size").alias("size"), F.col("new_mtime").alias("mtime"), F.col("new_format").alias("format"))
     return conform(kept, FILES).unionByName(conform(fresh, FILES))
 
 

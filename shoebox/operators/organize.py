@@ -37,8 +37,8 @@ def totals(items: DataFrame) -> DataFrame:
 def months(items: DataFrame, top: int = 12) -> DataFrame:
     """O-09: the first `top` month folders by name, and how many more there are."""
     counts = items.where("NOT skip").groupBy(basename(F.col("dest_dir")).alias("month")).agg(F.count("*").alias("n"))
-    number = counts.agg(F.greatest(F.count("*") - top, F.lit(0)).cast("bigint").alias("more"))
-    return counts.orderBy("month").limit(top).crossJoin(F.broadcast(number))  # `number` is one row
+    more = max(0, counts.count() - top)
+    return counts.orderBy("month").limit(top).withColumn("more", F.lit(more).cast("bigint"))
 
 
 def samples(items: DataFrame, top: int = 10) -> DataFrame:
