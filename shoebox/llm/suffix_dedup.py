@@ -155,8 +155,8 @@ def _columns(blob: bytes, n: int) -> list[np.ndarray]:
     return list(whole.reshape(n, -1))
 
 
-def _repeated_grams(batches):
-    """For each document the anchors whose gram hash occurs again: (doc_id, blob of hashes and places)."""
+def _repeated_grams(batches, buckets: int):
+    """The anchors whose gram hash occurs again (document, hash, place), dealt by document."""
     for rows in _same_bucket(batches):
         parts = [_columns(blob, 3) for _, blob in rows]
         h, doc, packed = (np.concatenate(c) for c in zip(*parts))
@@ -165,7 +165,15 @@ def _repeated_grams(batches):
         same = h[1:] == h[:-1]
         keep = np.r_[False, same] | np.r_[same, False]
         h, doc, packed = h[keep], doc[keep], packed[keep]
-        yield from _by_document(doc, [h, packed])
+        if len(h):
+            yield _rows(_split(_bucket(mix(doc.astype(np.uint64)), buckets), [doc, h, packed], 0))
+
+
+def _gather(batches):
+    """What was dealt by document, as one row for each: (doc_id, blob)."""
+    for rows in _same_bucket(batches):
+        doc, *columns = (np.concatenate(c) for c in zip(*(_columns(blob, 3) for _, blob in rows)))
+        yield from _by_document(doc, columns)
 
 
 def _by_document(doc: np.ndarray, columns: list[np.ndarray]):
@@ -300,9 +308,9 @@ def _cut_contexts(batches, buckets: int):
         return [_rows(rows[at : at + 64]) for at in range(0, len(rows), 64)]
 
     for batch in batches:
-        for doc, text, blobs in zip(*(c.to_pylist() for c in batch.columns)):
+        for doc, text, blob in zip(*(c.to_pylist() for c in batch.columns)):
             raw = text.encode()
-            table = np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 2)
+            table = np.frombuffer(blob, np.int64).reshape(-1, 2)
             of = _bucket(table[:, 0].view(np.uint64), buckets).tolist()
             for packed, bucket in zip(table[:, 1].tolist(), of):
                 q, left, behind = packed >> 14, packed >> 7 & 127, packed & 127
@@ -383,13 +391,13 @@ def merge_runs(runs: list, out: list[tuple[int, int, int]]):
     yield
 
 
-def _merge(batches):
+def _merge(batches, buckets: int):
     out: list[tuple[int, int, int]] = []
 
     def deal():
         doc, first, last = (np.array(c, np.int64) for c in zip(*out))
         out.clear()
-        return _by_document(doc, [first, last])
+        return [_rows(_split(_bucket(mix(doc.astype(np.uint64)), buckets), [doc, first, last], 0))]
 
     for rows in _same_bucket(batches):
         for kind, blob in rows:
@@ -425,9 +433,9 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<s
 def _remove(batches, as_text: bool):
     for batch in batches:
         rows = []
-        for doc, text, blobs in zip(*(c.to_pylist() for c in batch.columns)):
+        for doc, text, blob in zip(*(c.to_pylist() for c in batch.columns)):
             raw = text.encode()
-            spans = spans_of(np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 2), len(raw)) if blobs else []
+            spans = spans_of(np.frombuffer(blob, np.int64).reshape(-1, 2), len(raw)) if blob else []
             kept, at = [], 0
             for a, b in spans:
                 kept.append(raw[at:a])
@@ -444,12 +452,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, n_bytes, n_removed, n_spans, spans and kept (the remaining bytes, or the remaining text) for each row."""
     n = spark_partitions(docs.sparkSession)
     source = ids_and_texts(docs, id_col, text_col)
-    dealt = arrow_map(source, partial(_find_anchors, buckets=n), "bucket int, kind int, blob binary").repartition(n, "bucket").sortWithinPartitions("bucket")
-    repeated = arrow_map(dealt, _repeated_grams, "doc_id long, blob binary").groupBy("doc_id").agg(F.collect_list("blob").alias("blobs"))
+    rows = "bucket int, kind int, blob binary"
+
+    def by_bucket(df: DataFrame) -> DataFrame:
+        return df.repartition(n, "bucket").sortWithinPartitions("bucket")
+
+    anchors = by_bucket(arrow_map(source, partial(_find_anchors, buckets=n), rows))
+    repeated = arrow_map(by_bucket(arrow_map(anchors, partial(_repeated_grams, buckets=n), rows)), _gather, "doc_id long, blob binary")
     # both joins read the texts by doc_id: one exchange serves both
-    runs = arrow_map(source.join(repeated.hint("merge"), "doc_id").select("doc_id", "text", "blobs"), partial(_cut_contexts, buckets=n), "bucket int, kind int, blob binary")
-    windows = arrow_map(runs.repartition(n, "bucket").sortWithinPartitions("bucket"), _merge, "doc_id long, blob binary").groupBy("doc_id").agg(F.collect_list("blob").alias("blobs"))
-    joined = source.join(windows.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("blobs", F.array().cast("array<binary>")).alias("blobs"))
+    contexts = source.join(repeated.hint("merge"), "doc_id").select("doc_id", "text", "blob")
+    merged = arrow_map(by_bucket(arrow_map(contexts, partial(_cut_contexts, buckets=n), rows)), partial(_merge, buckets=n), rows)
+    windows = arrow_map(by_bucket(merged), _gather, "doc_id long, blob binary")
+    joined = source.join(windows.hint("merge"), "doc_id", "left").select("doc_id", "text", "blob")
     return arrow_map(joined, partial(_remove, as_text=as_text), RESULT.format("string" if as_text else "binary")).withColumn("doc_id", real_id())
 
 
