@@ -32,6 +32,18 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+_owner: list = [None, None]
+
+
+def claim(name: str, release: Callable[[], None]) -> None:
+    """What an operator remembers in a Python worker goes when another operator's task begins there: workers are
+    reused, and the memos of several operators together would outgrow them."""
+    if _owner[0] != name:
+        if _owner[1] is not None:
+            _owner[1]()
+        _owner[:] = [name, release]
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow over bounded batches."""
     bound_batches(df.sparkSession)

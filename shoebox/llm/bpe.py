@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, ids_and_texts, read_table, real_id
+from ._common import arrow_map, claim, ids_and_texts, read_table, real_id
 
 #: White space as Unicode defines it, and the word pattern of the tokenizer file.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -378,6 +378,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
+        claim("bpe", _encoder.cache_clear)
         encoder = _encoder(path, shared.value)
         for batch in batches:
             rows = []

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import ASCII_LOWER, ASCII_UPPER, LOWER_BYTES, NULL_ID, arrow_map, ids_and_texts, materialise, read_table, real_id, spark_partitions
+from ._common import ASCII_LOWER, ASCII_UPPER, LOWER_BYTES, NULL_ID, arrow_map, claim, ids_and_texts, materialise, read_table, real_id, spark_partitions
 
 MEMTABLE_ROWS, MEMTABLE_BYTES = 1 << 16, 24 << 20
 
@@ -78,6 +78,7 @@ class Memtable:
 
 
 def _flush_runs(batches, digest_bytes: int, keep: str):
+    claim("exact_dedup", lambda: None)
     table, run = Memtable(digest_bytes, keep), TaskContext.get().partitionId() << 24
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, bound_batches, materialise, read_table
+from ._common import arrow_map, bound_batches, claim, materialise, read_table
 
 TOP, SUMMARY = 1 << 15, 1 << 15
 TEMPER, STRENGTH, RELIABILITY = 0.2, 4.0, 2.0
@@ -137,6 +137,7 @@ _memo_of: list = [None]
 
 
 def _likelihoods(model: TextModel, texts: list[str]) -> list[list[float]]:
+    claim("language_id", _memo.clear)
     if _memo_of[0] is not model:
         _memo.clear()
         _memo_of[0] = model

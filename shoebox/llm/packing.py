@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, ids_and_texts, read_table, real_id
+from ._common import arrow_map, claim, ids_and_texts, read_table, real_id
 
 LENGTH, END_ID = 4096, 2
 #: Penalties in tokens of padding, and the longest stretch without a place to cut, for windows of LENGTH; others in proportion.
@@ -51,7 +51,7 @@ class WordEncoder:
     """Ids as little-endian 32-bit bytes. A chunk between spaces is encoded on its own and remembered, and so
     is each word; unseen words go to the tokenizer's model, unusual chunks to the whole tokenizer."""
 
-    CHUNKS, PIECES = 400_000, 300_000
+    CHUNKS, PIECES = 250_000, 200_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -200,6 +200,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGT
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 2000]), kinds)], names=names)
 
     def run(batches):
+        claim("packing", _encoder.cache_clear)
         encoder = _encoder(path)
         packer = Packer(TaskContext.get().partitionId(), length, encoder.ends_sentence)
         for batch in batches:

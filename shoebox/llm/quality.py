@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, bound_batches, ids_and_texts, read_table, real_id
+from ._common import arrow_map, bound_batches, claim, ids_and_texts, read_table, real_id
 
 SLOTS, SAMPLE, MEMO = 1 << 14, 3000, 400_000
 REPEAT_BINS, WORD_SHARE = 8, 0.5
@@ -144,6 +144,7 @@ _memo_of: list = [None]
 
 
 def _scores(model: Model, texts: list[str]) -> list[float]:
+    claim("quality", _memo.clear)
     if _memo_of[0] is not model:
         _memo.clear()
         _memo_of[0] = model

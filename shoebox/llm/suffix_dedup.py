@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, ids_and_texts, read_table, real_id, spark_partitions
+from ._common import arrow_map, claim, ids_and_texts, read_table, real_id, spark_partitions
 from ._shingles import mix
 
 U = np.uint64
@@ -119,6 +119,7 @@ def _rows(rows):
 
 
 def _find_anchors(batches, buckets: int):
+    claim("suffix_dedup", lambda: None)
     held, total = [], 0
 
     def deal():

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bound_batches, ids_and_texts, read_table, real_id
+from ._common import bound_batches, claim, ids_and_texts, read_table, real_id
 
 SPAN, DECAY, CLASSES = 6, 0.6, 64
 SAMPLE, SAMPLE_CHARS = 3000, 20_000
@@ -256,9 +256,15 @@ _memo: dict[str, float] = {}
 _memo_of: list = [None]
 
 
+def _forget() -> None:
+    _memo.clear()
+    _memo_of[0] = None
+
+
 def _score_texts(model: Model | None, texts: list[str]) -> list[float]:
     if model is None:
         return [0.0] * len(texts)
+    claim("toxicity", _forget)
     if _memo_of[0] is not model:
         _memo.clear()
         _memo_of[0] = model
