@@ -12,8 +12,9 @@ For a record with text, markup language, address and host the posterior of langu
 - *Host prior:* a grouped count of text-only decisions by host, smoothed towards its domain, that towards
   its ending, that towards the whole corpus (each level adds STRENGTH pseudo-counts of the level above).
 
-All counts cover all rows. The feature table is bounded: the TOP features of the corpus by count; host counts stay distributed
-and are joined. Texts are read whole; a page's text is its html without markup, scripts and styles.
+All counts cover all rows and all features. The commonest features (at most TOP) are looked up in memory; a text's other features are joined
+to the distributed table and their sum is added, so where a feature is looked up doesn't change a result. Host counts stay distributed
+and are joined. A feature that no labelled text has is no evidence. Texts are read whole; a page's text is its html without markup, scripts and styles.
 
 Defined results: null or empty text gives no text evidence, so the priors decide; a null address gives no host and
 the corpus prior; null ids stay null; labels outside the label table's languages can't arise; without any labelled text
@@ -54,15 +55,8 @@ def page_text(html: str) -> str:
 @dataclass
 class TextModel:
     languages: list[str]
-    weights: dict[str, np.ndarray]  # feature -> log P(feature | language), centred over languages
-
-    def word(self, word: str) -> np.ndarray:
-        out = np.zeros(len(self.languages))
-        for f in features(word):
-            w = self.weights.get(f)
-            if w is not None:
-                out = out + w
-        return out
+    weights: dict[str, np.ndarray]  # common feature -> log P(feature | language), centred over languages
+    rest: DataFrame | None = None  # (feature, weights) of all other features; None where there are none
 
 
 def _feature_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
@@ -114,60 +108,96 @@ def words_clean(words: dict[str, Counter]) -> None:
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", top: int = TOP) -> TextModel:
-    """Add-one smoothed likelihoods of the `top` commonest features, from all labelled texts."""
+    """Add-one smoothed likelihoods of all features, from all labelled texts; the commonest (at most `top`) in memory."""
     counts = materialise(_feature_counts(docs, text_col, lang_col), "lang-counts")
-    best = counts.groupBy("feature").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "feature").limit(top)
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals)
-    rows = counts.join(F.broadcast(best), "feature").select("feature", "lang", "n").collect()  # at most top * languages rows
-    table: dict[str, np.ndarray] = {}
-    place = {lang: i for i, lang in enumerate(languages)}
-    for r in rows:
-        table.setdefault(r["feature"], np.zeros(len(languages)))[place[r["lang"]]] = r["n"]
-    size = np.array([totals[lang] for lang in languages], float)
-    weights = {}
-    for f, n in table.items():
-        logs = np.log((n + 1) / (size + len(table)))
-        weights[f] = logs - logs.mean()
-    return TextModel(languages, weights)
+    if not languages:
+        return TextModel([], {})
+    by_language = [F.sum(F.when(F.col("lang") == c, F.col("n")).otherwise(0)) for c in languages]
+    wide = materialise(counts.groupBy("feature").agg(F.sum("n").alias("total"), F.array(*by_language).alias("n")), "lang-features")
+    step = F.floor(F.log2("total") * 16).cast("int")
+    steps = sorted(((r[0], r[1]) for r in wide.groupBy(step).agg(F.count("*")).collect()), reverse=True)  # at most 1,024 rows
+    distinct = sum(k for _, k in steps)
+    least, held = None, 0  # the lowest step of which all features fit into memory, with those above
+    for at, k in steps:
+        if held + k > top:
+            break
+        least, held = at, held + k
+    logs = F.array(*[F.log((F.get("n", i) + 1) / F.lit(float(totals[c] + distinct))) for i, c in enumerate(languages)])
+    mean = F.aggregate("logs", F.lit(0.0), lambda a, x: a + x) / len(languages)
+    table = wide.select("feature", step.alias("step"), logs.alias("logs")).select("feature", "step", F.transform("logs", lambda x: x - mean).alias("weights"))
+    common = table.where(F.col("step") >= least).select("feature", "weights").toArrow() if held else None
+    weights = dict(zip(common["feature"].to_pylist(), map(np.array, common["weights"].to_pylist()))) if held else {}
+    rest = (table.where(F.col("step") < least) if held else table).select("feature", "weights")
+    return TextModel(languages, weights, rest if held < distinct else None)
+
+
+_memo: dict[str, tuple[np.ndarray | None, tuple]] = {}
+_memo_of: list = [None]
 
 
-_memo: dict[str, np.ndarray] = {}
-_memo_of: list = [None]
+def _read_chunk(chunk: str, weights: dict[str, np.ndarray], open_table: bool) -> tuple[np.ndarray | None, tuple]:
+    """The summed weights of a chunk's common features, and its other features where the table goes on."""
+    total, others = None, []
+    for word in WORD.findall(chunk):
+        for f in features(word):
+            w = weights.get(f)
+            if w is not None:
+                total = w if total is None else total + w
+            elif open_table:
+                others.append(f)
+    return total, tuple(others)
 
 
-def _likelihoods(model: TextModel, texts: list[str]) -> list[list[float]]:
+def _likelihoods(model: tuple, texts: list[str]) -> tuple[list, list, list]:
+    """For each text the sum over its common features, its other features, and their counts."""
+    size, weights, open_table = model
     claim("language_id", _memo.clear)
     if _memo_of[0] is not model:
         _memo.clear()
         _memo_of[0] = model
-    out = []
+    logs, rest, counts = [], [], []
     for text in texts:
-        total = np.zeros(len(model.languages))
+        total = np.zeros(size)
+        others: Counter = Counter()
         for chunk, n in Counter(text.lower().split()).items():
-            w = _memo.get(chunk)
-            if w is None:
+            known = _memo.get(chunk)
+            if known is None:
                 if len(_memo) > MEMO:
                     _memo.clear()
-                w = np.zeros(len(model.languages))
-                for word in WORD.findall(chunk):
-                    w = w + model.word(word)
-                _memo[chunk] = w
-            total = total + n * w
-        out.append((TEMPER * total).tolist())
-    return out
+                known = _memo[chunk] = _read_chunk(chunk, weights, open_table)
+            if known[0] is not None:
+                total = total + n * known[0]
+            for f in known[1]:
+                others[f] += n
+        logs.append(total.tolist())
+        rest.append(list(others))
+        counts.append(list(others.values()))
+    return logs, rest, counts
 
 
 def evidence(records: DataFrame, model: TextModel) -> DataFrame:
     """records (key, text, is_html, declared, address, host) with `text_logs`, the text's log likelihoods, in place of the text."""
-    shared = records.sparkSession.sparkContext.broadcast(model)
+    shared = records.sparkSession.sparkContext.broadcast((len(model.languages), model.weights, model.rest is not None))
     bound_batches(records.sparkSession)
 
-    @F.pandas_udf("array<double>")
-    def logs(texts: pd.Series, html: pd.Series) -> pd.Series:
-        return pd.Series(_likelihoods(shared.value, [page_text(t) if h else t for t, h in zip(texts.tolist(), html.tolist())]))
-
-    return records.withColumn("text_logs", logs(F.coalesce("text", F.lit("")), "is_html")).drop("text", "is_html")
+    @F.pandas_udf("logs array<double>, features array<string>, counts array<long>")
+    def read(texts: pd.Series, html: pd.Series) -> pd.DataFrame:
+        found = _likelihoods(shared.value, [page_text(t) if h else t for t, h in zip(texts.tolist(), html.tolist())])
+        return pd.DataFrame(dict(zip(("logs", "features", "counts"), (pd.Series(c, dtype=object) for c in found))))
+
+    seen = records.withColumn("_read", read(F.coalesce("text", F.lit("")), "is_html")).drop("text", "is_html")
+    tempered = lambda logs: F.transform(logs, lambda x: x * TEMPER)
+    if model.rest is None:
+        return seen.withColumn("text_logs", tempered("_read.logs")).drop("_read")
+    seen = materialise(seen.withColumn("_row", F.monotonically_increasing_id()), "lang-texts")
+    others = seen.select("_row", F.explode(F.arrays_zip(F.col("_read.features").alias("feature"), F.col("_read.counts").alias("n"))).alias("f")).select("_row", "f.feature", "f.n")
+    summed = [F.sum(F.col("n") * F.get("weights", i)) for i in range(len(model.languages))]
+    added = others.join(model.rest.hint("merge"), "feature").groupBy("_row").agg(F.array(*summed).alias("_added"))
+    seen = seen.withColumn("_logs", F.col("_read.logs")).drop("_read").join(added.hint("merge"), "_row", "left")
+    both = F.when(F.col("_added").isNull(), F.col("_logs")).otherwise(F.zip_with("_logs", "_added", lambda a, b: a + b))
+    return seen.withColumn("text_logs", tempered(both)).drop("_row", "_logs", "_added")
 
 
 #: Two-letter codes of countries whose common language has another code.

@@ -101,3 +101,18 @@ def test_language_evidence(spark):
     assert empty.count() == 0
     nothing = language_id.train(docs.where("false"))
     assert {r.lang for r in language_id.identify(language_id.page_records(spark.createDataFrame(html, schema)), nothing).collect()} == {None}
+
+
+def test_language_features_beyond_memory(spark):
+    """A rare language's features are outside the commonest ones; where a feature is looked up changes nothing."""
+    rows = [(f"the house number {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}word and of with", "en") for i in range(200)] + [("talo ja vesi on kaunis", "fi")]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    pages = spark.createDataFrame([(1, None, "kaunis talo"), (2, None, "the house"), (3, None, "vesi vesi with abword"), (4, None, "zzzz")], "page_id long, url string, html string")
+    got = []
+    for top in (20, 0, 10_000):
+        model = language_id.train(docs, top=top)
+        assert len(model.weights) <= top and (model.rest is None) == (top == 10_000)
+        found = language_id.identify(language_id.page_records(pages), model).collect()
+        got.append({r.page_id: (r.text_lang, r.lang, round(r.probability, 5)) for r in found})
+    assert got[0] == got[1] == got[2]
+    assert got[0][1][0] == "fi" and got[0][2][0] == "en" and got[0][4][0] is None
