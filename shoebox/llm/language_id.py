@@ -35,9 +35,10 @@ from pyspark.sql import functions as F
 
 from ._common import arrow_map, bound_batches, claim, materialise, read_table
 
-TOP, SUMMARY = 1 << 15, 1 << 15
+TOP = 1 << 15
 TEMPER, STRENGTH, RELIABILITY = 0.2, 4.0, 2.0
 MEMO = 300_000
+FLUSH = 300_000  # partial counts of features that a task holds before it passes them on
 WORD = re.compile(r"[^\W\d_]+")
 MARKUP = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
 ENTITY = re.compile(r"&#?\w+;")
@@ -60,38 +61,38 @@ class TextModel:
 
 
 def _feature_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, feature, n): bounded mergeable summaries of each task, added up."""
+    """(lang, feature, n): exact counts; a task passes partial counts on when it holds many, and they are added up."""
 
     def run(batches):
         counts: dict[str, Counter] = {}
         words: dict[str, Counter] = {}
 
         def fold():
+            words_clean(words)
             for lang, seen in words.items():
                 own = counts.setdefault(lang, Counter())
                 for w, n in seen.items():
                     for f in features(w):
                         own[f] += n
-                if len(own) > SUMMARY:
-                    cut = sorted(own.values(), reverse=True)[SUMMARY]
-                    for f in [f for f, n in own.items() if n <= cut]:
-                        del own[f]
-                    for f in own:
-                        own[f] -= cut
             words.clear()
 
+        def passed_on():
+            for lang, own in counts.items():
+                keys, values = list(own), list(own.values())
+                for at in range(0, len(keys), 20_000):
+                    k = keys[at : at + 20_000]
+                    yield pa.record_batch([pa.array([lang] * len(k), pa.string()), pa.array(k, pa.string()), pa.array(values[at : at + 20_000], pa.int64())], names=["lang", "feature", "n"])
+            counts.clear()
+
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words.setdefault(lang, Counter()).update(text.lower().split())
             if sum(map(len, words.values())) > MEMO:
-                words_clean(words)
                 fold()
-        words_clean(words)
+                if sum(map(len, counts.values())) > FLUSH:
+                    yield from passed_on()
         fold()
-        rows = [(lang, f, n) for lang, own in counts.items() for f, n in own.items()]
-        for at in range(0, len(rows), 20_000):
-            part = list(zip(*rows[at : at + 20_000]))
-            yield pa.record_batch([pa.array(part[0], pa.string()), pa.array(part[1], pa.string()), pa.array(part[2], pa.int64())], names=["lang", "feature", "n"])
+        yield from passed_on()
 
     labelled = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     return arrow_map(labelled, run, "lang string, feature string, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))

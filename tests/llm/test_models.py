@@ -116,3 +116,18 @@ def test_language_features_beyond_memory(spark):
         got.append({r.page_id: (r.text_lang, r.lang, round(r.probability, 5)) for r in found})
     assert got[0] == got[1] == got[2]
     assert got[0][1][0] == "fi" and got[0][2][0] == "en" and got[0][4][0] is None
+
+
+def test_language_counts_are_exact(spark):
+    """More features than a task holds at once; counts don't depend on how rows are dealt."""
+    texts = [" ".join(f"{a}{b}{c}" for c in "abcdefghijklmnopqrstuvwxyz") for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz" * 2] + ["aaa bbb"] * 50
+    docs = spark.createDataFrame([(t + " " + "".join(chr(97 + i // 26**k % 26) for k in range(4)) * 2, "en") for i, t in enumerate(texts * 20)], "text string, lang string")
+    want = {}
+    for text in (r.text for r in docs.collect()):
+        for w in text.split():
+            for f in language_id.features(w):
+                want[f] = want.get(f, 0) + 1
+    assert len(want) > 1 << 15
+    for parts in (1, 5):
+        got = {r.feature: r.n for r in language_id._feature_counts(docs.repartition(parts), "text", "lang").collect()}
+        assert got == want
