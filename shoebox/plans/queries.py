@@ -158,6 +158,11 @@ def nfc_paths(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", paths.nfc(F.substring("text", 1, 40)).alias("composed"))
 
 
+@query("nfc_text", "SELECT doc_id, nfc_normalize(text) AS composed FROM documents")
+def nfc_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", paths.nfc("text").alias("composed"))
+
+
 @query("path_parts", f"WITH {FILES} SELECT id, split_part(path, '/', -1) AS name, '.txt' AS ext, 'txt' AS format, regexp_replace(path, '/[^/]*$', '') AS folder, CAST(id AS VARCHAR) AS stem FROM files")
 def path_parts(spark, sf_dir):
     p = F.col("path")

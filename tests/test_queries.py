@@ -31,3 +31,9 @@ def test_entry_imports():
     import __spark_entry__ as e
 
     assert set(QUERIES) <= set(e.queries())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="fixture tables are not here")
+def test_nfc_reads_whole_texts(spark):
+    rows = QUERIES["nfc_text"](spark, f"{DATA}/sf0.001").collect()
+    assert max(len(r.composed) for r in rows if r.composed) > 40
