@@ -209,6 +209,13 @@ def hamming_hex(spark, sf_dir):
     return rows.join(other, "id").select(F.col("id").alias("a"), "b", signature.hamming_hex(F.col("x"), F.col("y")).cast("bigint").alias("distance"))
 
 
+@query("hamming_hex64", f"WITH {FILES} SELECT x.id AS a, y.id AS b, CAST(bit_count(xor(CAST('0x' || x.phash AS UBIGINT), CAST('0x' || y.phash AS UBIGINT))) AS BIGINT) AS distance FROM files x JOIN files y ON y.id = x.id + 1 WHERE x.phash IS NOT NULL AND y.phash IS NOT NULL")
+def hamming_hex64(spark, sf_dir):
+    rows = files(spark, sf_dir).where("phash IS NOT NULL").select("id", F.col("phash").alias("x"))
+    other = rows.select((F.col("id") - 1).alias("id"), F.col("id").alias("b"), F.col("x").alias("y"))
+    return rows.join(other, "id").select(F.col("id").alias("a"), "b", signature.hamming_hex(F.col("x"), F.col("y")).cast("bigint").alias("distance"))
+
+
 @query("burst_pairs", """WITH e AS (SELECT event_id AS id, epoch_us(ts) / 1e6 AS dt, (event_id * 2654435761) & 4294967295 AS h, row_number() OVER (ORDER BY ts, event_id) AS rn FROM events)
     SELECT x.id AS a, y.id AS b, CAST(bit_count(xor(x.h, y.h)) AS BIGINT) AS distance FROM e x JOIN e y ON y.rn - x.rn BETWEEN 1 AND 3
     WHERE y.dt - x.dt <= 600 AND bit_count(xor(x.h, y.h)) <= 14""")

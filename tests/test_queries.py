@@ -37,3 +37,10 @@ def test_entry_imports():
 def test_nfc_reads_whole_texts(spark):
     rows = QUERIES["nfc_text"](spark, f"{DATA}/sf0.001").collect()
     assert max(len(r.composed) for r in rows if r.composed) > 40
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="fixture tables are not here")
+def test_hamming_hex_compares_all_bits(spark):
+    """Some pairs differ in the last 16 of the 64 bits, and some signatures have the top bit set."""
+    whole, short = ({(r.a, r.b): r.distance for r in QUERIES[q](spark, f"{DATA}/sf0.001").collect()} for q in ("hamming_hex64", "hamming_hex"))
+    assert whole.keys() == short.keys() and any(whole[k] > short[k] for k in whole) and all(whole[k] >= short[k] for k in whole)
