@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import RAW, extension
 from .exif import exif
-from .tree import head_bytes
 
 #: Optional plug-ins (S-08, S-09): extension -> function(path) giving (height, width, RGB bytes) or None.
 decoders: dict[str, Callable[[str], tuple[int, int, bytes] | None]] = {}
@@ -38,7 +37,7 @@ def load_images(spark: SparkSession, files: DataFrame, links: str | None = None)
     else:
         found = spark.createDataFrame([], "file_id bigint, height int, width int, nChannels int, data binary")
     raw = extension(F.col("path")).isin(*RAW)
-    meta = files.select(F.col("id").alias("file_id"), raw.alias("_raw"), F.when(~raw, head_bytes(F.col("path"))).alias("_head")).withColumn("_exif", exif(F.col("_head")))
+    meta = files.select(F.col("id").alias("file_id"), raw.alias("_raw"), F.when(~raw, F.col("path")).alias("_path")).withColumn("_exif", exif(F.col("_path")))
     meta = meta.select("file_id", F.when(F.col("_raw"), "RAW").otherwise(F.col("_exif.make")).alias("make"), "_exif.model", "_exif.dt_raw", "_exif.orientation")
     return meta.join(found, "file_id", "left")
 

@@ -112,20 +112,3 @@ def file_digest(path: Column, limit: int | None = None) -> Column:
         return paths.map(lambda p: _digest(p, limit))
 
     return run(path)
-
-
-def head_bytes(path: Column, limit: int = 1 << 18) -> Column:
-    """The first bytes of a file, for EXIF; null where it can't be read."""
-
-    @F.pandas_udf("binary")
-    def run(paths: pd.Series) -> pd.Series:
-        def read(p):
-            try:
-                with open(p, "rb") as f:
-                    return f.read(limit)
-            except OSError:
-                return None
-
-        return paths.map(read)
-
-    return run(path)

@@ -144,3 +144,24 @@ def test_streaming_upsert(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     follow(stream, store, str(tmp_path / "ck")).awaitTermination()
     assert {r.path for r in store.read("files").collect()} == {"/r/a", "/r/b"}
+
+
+def test_exif_far_into_a_file(spark, tmp_path):
+    """A TIFF directory behind the pixels, and a JPEG's APP1 behind other segments, both beyond 256 KiB."""
+    import struct
+
+    from pyspark.sql import functions as F
+
+    from shoebox.sources.exif import exif
+
+    far = 8 + 400_000
+    entries = struct.pack("<HHII", 0x010F, 2, 4, int.from_bytes(b"Cam\0", "little")) + struct.pack("<HHII", 0x0112, 3, 1, 6) + struct.pack("<HHII", 0x0132, 2, 20, far + 2 + 36 + 4)
+    tiff = b"II*\0" + struct.pack("<I", far) + bytes(400_000) + struct.pack("<H", 3) + entries + bytes(4) + b"2023:04:12 10:00:00\0"
+    jpeg = exif_jpeg("<")
+    jpeg = jpeg[:2] + (b"\xff\xe2" + struct.pack(">H", 60_000) + bytes(59_998)) * 6 + jpeg[2:]
+    for name, content in (("a.tif", tiff), ("b.jpg", jpeg)):
+        (tmp_path / name).write_bytes(content)
+    paths = [(1, str(tmp_path / "a.tif")), (2, str(tmp_path / "b.jpg")), (3, str(tmp_path / "none.jpg")), (4, None)]
+    got = {r.id: tuple(r.e) for r in spark.createDataFrame(paths, "id int, path string").select("id", exif(F.col("path")).alias("e")).collect()}
+    assert got[1] == got[2] == ("Cam", None, "2023:04:12 10:00:00", 6)
+    assert got[3] == got[4] == (None, None, None, None)
