@@ -38,7 +38,7 @@ def _kind(c: str) -> str:
 
 
 def shape(word: str) -> str:
-    return "".join(k for k, _ in groupby(map(_kind, word[:64])))
+    return "".join(k for k, _ in groupby(map(_kind, word)))
 
 
 def word_slots(word: str) -> tuple[int, int]:

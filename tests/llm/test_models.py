@@ -131,3 +131,7 @@ def test_language_counts_are_exact(spark):
     for parts in (1, 5):
         got = {r.feature: r.n for r in language_id._feature_counts(docs.repartition(parts), "text", "lang").collect()}
         assert got == want
+
+
+def test_quality_shape_reads_whole_words():
+    assert quality.shape("a" * 64 + "7B-") == "a0A-" and quality.word_slots("a" * 64 + "7")[1] != quality.word_slots("a" * 64)[1]
