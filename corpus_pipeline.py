@@ -53,11 +53,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of 100-byte strings that start earlier go; so do documents of which nothing is left."""
-    found = remove_repeats(docs.select("doc_id", "text"), as_text=True).where("doc_id IS NOT NULL AND (n_bytes = 0 OR n_removed < n_bytes)")
-    rest = docs.select("doc_id", "lang", "source", "n_chars", F.col("text").isNull().alias("no_text"))
-    out = rest.join(found.select(F.col("doc_id").alias("found_id"), "kept", "n_removed"), F.col("doc_id") == F.col("found_id"))
-    out = out.select("doc_id", F.when(~F.col("no_text"), F.col("kept")).alias("text"), "lang", "source", F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("n_chars")).cast("long").alias("n_chars"))
-    return out.unionByName(docs.where("doc_id IS NULL").select(*COLUMNS)).select(*COLUMNS)
+    marked = docs.select(*COLUMNS, F.col("text").isNull().alias("no_text"))
+    found = remove_repeats(marked, as_text=True, carry=("lang", "source", "n_chars", "no_text")).where("n_bytes = 0 OR n_removed < n_bytes")
+    size = F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("n_chars")).cast("long")
+    return found.select("doc_id", F.when(~F.col("no_text"), F.col("kept")).alias("text"), "lang", "source", size.alias("n_chars"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

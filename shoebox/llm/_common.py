@@ -54,11 +54,12 @@ def spark_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ids_and_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) with a null id as NULL_ID and a null text as the empty text; every other column goes."""
+def ids_and_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *others) -> DataFrame:
+    """(doc_id, text) with a null id as NULL_ID and a null text as the empty text; every column but `others` goes."""
     return df.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        *others,
     )
 
 

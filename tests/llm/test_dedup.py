@@ -124,47 +124,89 @@ def test_shingles_see_words_not_bytes():
     assert (a == b).all() and len(a) == 2 and len(c) == 1 and len(d) == 0
 
 
-def brute_repeats(rows):
+def brute_repeats(rows, order=None):
+    """Rows are judged in the order of `order` (the id by default); rows of equal id and text as one position."""
     seen, out = {}, []
+    order = order or (lambda i, t: (key(i), 0))
     for i, t in rows:
-        raw = (t or "").encode()
+        raw, rank = (t or "").encode(), order(i, t or "")
         for p in range(len(raw) - 99):
             w = raw[p : p + 100]
-            seen[w] = min(seen.get(w, (1 << 62, 0)), (key(i), p))
+            seen[w] = min(seen.get(w, ((1 << 62, 0), 0)), (rank, p))
     for i, t in rows:
-        raw = (t or "").encode()
+        raw, rank = (t or "").encode(), order(i, t or "")
         gone = np.zeros(len(raw), bool)
         for p in range(len(raw) - 99):
-            if seen[raw[p : p + 100]] < (key(i), p):
+            if seen[raw[p : p + 100]] < (rank, p):
                 gone[p : p + 100] = True
         edges = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(int)))
         out.append((key(i), len(raw), int(gone.sum()), len(edges) // 2, bytes(b for b, g in zip(raw, gone) if not g)))
     return sorted(out)
 
 
-def removed(df):
-    return sorted((key(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(df).collect())
+def digest_order(spark, rows):
+    """The order that the operator states for rows of one id: that of a digest of id and text."""
+    import pyspark.sql.functions as F
 
+    df = spark.createDataFrame([(key(i), t or "") for i, t in rows], "doc_id long, text string").withColumn("d", F.xxhash64("doc_id", "text"))
+    known = {(r.doc_id, r.text): (r.doc_id, r.d) for r in df.collect()}
+    return lambda i, t: known[key(i), t]
 
-def test_suffix_dedup_odd_rows(odd, odd_rows):
-    rows = [r for r in odd_rows if r[0] is not None] + [(None, None)]
-    assert removed(odd.where("doc_id IS NOT NULL OR text IS NULL")) == brute_repeats(rows)
 
+def removed(df, **kw):
+    return sorted((key(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(df, **kw).collect())
 
-def test_suffix_dedup_small_alphabet(spark, monkeypatch):
+
+ROUTES = [{}, {"heavy": 1e9}, {"chunk": 700}]
+
+
+@pytest.mark.parametrize("route", ROUTES)
+def test_suffix_dedup_odd_rows(spark, odd, odd_rows, route):
+    assert removed(odd, **route) == brute_repeats(odd_rows, digest_order(spark, odd_rows))
+
+
+@pytest.mark.parametrize("route", ROUTES)
+def test_suffix_dedup_small_alphabet(spark, route):
     """Texts in which nearly everything repeats, at all offsets, and pieces of a long text."""
     rnd = random.Random(4)
-    monkeypatch.setattr(suffix_dedup, "CHUNK", 700)
     bits = ["".join(rnd.choice("ab") for _ in range(rnd.choice([5, 60, 101, 130]))) for _ in range(9)]
-    rows = [(i, "".join(rnd.choice(bits) for _ in range(rnd.randint(1, 12)))) for i in range(60)] + [(99, "z" * 1500)]
-    assert removed(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute_repeats(rows)
+    rows = [(i, "".join(rnd.choice(bits) for _ in range(rnd.randint(1, 12)))) for i in range(60)] + [(99, "z" * 1500), (100, "z\0" * 300)]
+    assert removed(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), **route) == brute_repeats(rows)
+
+
+def test_suffix_dedup_ids_that_repeat(spark):
+    """Several null ids, and one id with several texts: each text is a document of its own."""
+    rnd = random.Random(12)
+    a, b, c = (prose(rnd, 60) for _ in range(3))
+    rows = [(None, a + a), (None, b), (None, prose(rnd, 150)), (5, c + b), (5, prose(rnd, 90)), (5, prose(rnd, 20) + c), (7, c), (7, c), (None, b)]
+    assert removed(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == brute_repeats(rows, digest_order(spark, rows))
+
+
+def test_suffix_dedup_mirrored_neighbours(spark):
+    """Contexts whose left parts look like other contexts' right parts, so that they sort between equal ones."""
+    rnd = random.Random(13)
+    rows, n = [], 0
+    for _ in range(40):
+        passage = "".join(rnd.choice("abcdefghij") for _ in range(100))
+        for _ in range(2):
+            rows.append((n, "".join(rnd.choice("xyz") for _ in range(rnd.randint(0, 90))) + passage + "".join(rnd.choice("uvw") for _ in range(rnd.randint(0, 90)))))
+            n += 1
+        data = np.frombuffer(passage.encode(), np.uint8)
+        _, _, anchor, _, _ = suffix_dedup.anchors_of(data, np.zeros(1, np.int64), np.array([100]))
+        q = int(anchor[0])
+        for right in range(32, 100 - q, 9):  # the passage from the anchor, a shorter right part, then its mirror image to the left
+            mirrored = passage[q + right :][::-1]
+            rows.append((n, mirrored + passage[q : q + right]))
+            rows.append((n + 1, ("k" * 100 + mirrored)[-100 + right :] + passage[q : q + right]))
+            n += 2
+    assert removed(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == brute_repeats(rows)
 
 
 def test_loser_tree_and_front_code():
     rnd = random.Random(6)
     runs, everything = [], []
     for r in range(5):
-        entries = sorted(("".join(rnd.choice("ab") for _ in range(rnd.randint(33, 60))).encode(), 33, r, i) for i in range(rnd.randint(0, 30)))
+        entries = sorted(("".join(rnd.choice("ab") for _ in range(rnd.randint(33, 60))).encode(), 33, r, 0, i) for i in range(rnd.randint(0, 30)))
         everything += entries
         runs.append(suffix_dedup.front_code(entries))
     merged = list(suffix_dedup.LoserTree([suffix_dedup.read_run(b) for b in runs]))
