@@ -5,16 +5,17 @@ For a record with text, markup language, address and host the posterior of langu
     log P(l) is the host prior, plus  text likelihood (temper * sum of log P(feature | l))
              + log P(declared | l) + log P(address code | l)
 
-- *Text:* words and character trigrams at word edges, add-one smoothed counts from labelled texts by grouped aggregation;
-  the sum is tempered, as neighbouring features aren't independent.
+- *Text:* words and character trigrams at word edges, hashed to SLOTS slots for each language, add-one smoothed counts of all
+  labelled texts by grouped aggregation; the sum is tempered, as neighbouring features aren't independent.
 - *Declared language* (`<html lang>`), *address code* (a country ending of the host or a language code as a
   path part): their reliabilities are learned as confusion counts against the text-only decisions.
 - *Host prior:* a grouped count of text-only decisions by host, smoothed towards its domain, that towards
   its ending, that towards the whole corpus (each level adds STRENGTH pseudo-counts of the level above).
 
-All counts cover all rows and all features. The commonest features (at most TOP) are looked up in memory; a text's other features are joined
-to the distributed table and their sum is added, so where a feature is looked up doesn't change a result. Host counts stay distributed
-and are joined. A feature that no labelled text has is no evidence. Texts are read whole; a page's text is its html without markup, scripts and styles.
+All counts cover all rows and all features and are exact, however rows are dealt; features that share a slot share its count. The table of
+weights is languages x SLOTS numbers of four bytes whatever the input (2 MB a language): it is collected and broadcast. Host counts stay
+distributed and are joined. A slot that no labelled text fills is no evidence. Texts are read whole; a page's text is its
+html without markup, scripts and styles.
 
 Defined results: null or empty text gives no text evidence, so the priors decide; a null address gives no host and
 the corpus prior; null ids stay null; labels outside the label table's languages can't arise; without any labelled text
@@ -24,6 +25,7 @@ every language is null; an empty table gives an empty result; other columns are
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -35,10 +37,9 @@ from pyspark.sql import functions as F
 
 from ._common import arrow_map, bound_batches, claim, materialise, read_table
 
-TOP = 1 << 15
+SLOTS, RANGES = 1 << 19, 256  # slots of the feature table, and the ranges of slots by which counts are dealt
 TEMPER, STRENGTH, RELIABILITY = 0.2, 4.0, 2.0
 MEMO = 300_000
-FLUSH = 300_000  # partial counts of features that a task holds before it passes them on
 WORD = re.compile(r"[^\W\d_]+")
 MARKUP = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
 ENTITY = re.compile(r"&#?\w+;")
@@ -49,6 +50,10 @@ def features(word: str) -> list[str]:
     return [word, "^" + word[:3], word[-3:] + "$"] if len(word) > 3 else [word]
 
 
+def slots_of(word: str) -> list[int]:
+    return [zlib.crc32(f.encode()) % SLOTS for f in features(word)]
+
+
 def page_text(html: str) -> str:
     return ENTITY.sub(" ", MARKUP.sub(" ", html))
 
@@ -56,46 +61,63 @@ def page_text(html: str) -> str:
 @dataclass
 class TextModel:
     languages: list[str]
-    weights: dict[str, np.ndarray]  # common feature -> log P(feature | language), centred over languages
-    rest: DataFrame | None = None  # (feature, weights) of all other features; None where there are none
+    weights: np.ndarray  # slots x languages: log P(slot | language), centred over languages; zeros where no text fills the slot
 
 
 def _feature_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, feature, n): exact counts; a task passes partial counts on when it holds many, and they are added up."""
+    """(lang, part, blob): exact counts of the slots of one range, once for each language and range that has any."""
 
-    def run(batches):
-        counts: dict[str, Counter] = {}
+    def count(batches):
+        counts: dict[str, np.ndarray] = {}
         words: dict[str, Counter] = {}
 
         def fold():
             words_clean(words)
             for lang, seen in words.items():
-                own = counts.setdefault(lang, Counter())
-                for w, n in seen.items():
-                    for f in features(w):
-                        own[f] += n
+                own = counts.setdefault(lang, np.zeros(SLOTS, np.int64))
+                pairs = [(slot, n) for w, n in seen.items() for slot in slots_of(w)]
+                if pairs:
+                    slots, n = np.array(pairs, np.int64).T
+                    np.add.at(own, slots, n)
             words.clear()
 
-        def passed_on():
-            for lang, own in counts.items():
-                keys, values = list(own), list(own.values())
-                for at in range(0, len(keys), 20_000):
-                    k = keys[at : at + 20_000]
-                    yield pa.record_batch([pa.array([lang] * len(k), pa.string()), pa.array(k, pa.string()), pa.array(values[at : at + 20_000], pa.int64())], names=["lang", "feature", "n"])
-            counts.clear()
-
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words.setdefault(lang, Counter()).update(text.lower().split())
             if sum(map(len, words.values())) > MEMO:
                 fold()
-                if sum(map(len, counts.values())) > FLUSH:
-                    yield from passed_on()
         fold()
-        yield from passed_on()
+        yield from _ranges(counts)
+
+    def add(batches):
+        key, total = None, None
+        for batch in batches:
+            for lang, part, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                if (lang, part) != key:
+                    if key is not None:
+                        yield _blob_rows([(*key, total)])
+                    key, total = (lang, part), np.zeros(SLOTS // RANGES, np.int64)
+                slots, n = np.frombuffer(zlib.decompress(blob), np.int64).reshape(2, -1)
+                total[slots] += n
+        if key is not None:
+            yield _blob_rows([(*key, total)])
 
     labelled = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    return arrow_map(labelled, run, "lang string, feature string, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
+    rows = "lang string, part int, blob binary"
+    return arrow_map(arrow_map(labelled, count, rows).repartition("lang", "part").sortWithinPartitions("lang", "part"), add, rows)
+
+
+def _blob_rows(rows):
+    """(lang, part, counts of a range) as rows that hold the filled slots."""
+    packed = [zlib.compress(np.stack([at := np.flatnonzero(n), n[at]]).tobytes(), 1) for _, _, n in rows]
+    return pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array(packed, pa.binary())], names=["lang", "part", "blob"])
+
+
+def _ranges(counts: dict[str, np.ndarray]):
+    for lang, own in counts.items():
+        # a language whose texts hold no feature still sends its first range, so that it is known
+        filled = [(lang, part, n) for part, n in enumerate(own.reshape(RANGES, -1)) if n.any() or not part]
+        yield _blob_rows(filled)
 
 
 def words_clean(words: dict[str, Counter]) -> None:
@@ -108,97 +130,80 @@ def words_clean(words: dict[str, Counter]) -> None:
         words[lang] = clean
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", top: int = TOP) -> TextModel:
-    """Add-one smoothed likelihoods of all features, from all labelled texts; the commonest (at most `top`) in memory."""
-    counts = materialise(_feature_counts(docs, text_col, lang_col), "lang-counts")
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    languages = sorted(totals)
-    if not languages:
-        return TextModel([], {})
-    by_language = [F.sum(F.when(F.col("lang") == c, F.col("n")).otherwise(0)) for c in languages]
-    wide = materialise(counts.groupBy("feature").agg(F.sum("n").alias("total"), F.array(*by_language).alias("n")), "lang-features")
-    step = F.floor(F.log2("total") * 16).cast("int")
-    steps = sorted(((r[0], r[1]) for r in wide.groupBy(step).agg(F.count("*")).collect()), reverse=True)  # at most 1,024 rows
-    distinct = sum(k for _, k in steps)
-    least, held = None, 0  # the lowest step of which all features fit into memory, with those above
-    for at, k in steps:
-        if held + k > top:
-            break
-        least, held = at, held + k
-    logs = F.array(*[F.log((F.get("n", i) + 1) / F.lit(float(totals[c] + distinct))) for i, c in enumerate(languages)])
-    mean = F.aggregate("logs", F.lit(0.0), lambda a, x: a + x) / len(languages)
-    table = wide.select("feature", step.alias("step"), logs.alias("logs")).select("feature", "step", F.transform("logs", lambda x: x - mean).alias("weights"))
-    common = table.where(F.col("step") >= least).select("feature", "weights").toArrow() if held else None
-    weights = dict(zip(common["feature"].to_pylist(), map(np.array, common["weights"].to_pylist()))) if held else {}
-    rest = (table.where(F.col("step") < least) if held else table).select("feature", "weights")
-    return TextModel(languages, weights, rest if held < distinct else None)
-
-
-_memo: dict[str, tuple[np.ndarray | None, tuple]] = {}
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> TextModel:
+    """Add-one smoothed likelihoods of all slots, from all labelled texts."""
+    found = _feature_counts(docs, text_col, lang_col).collect()  # at most languages x RANGES rows, see the module's bound
+    languages = sorted({r["lang"] for r in found})
+    counts = np.zeros((len(languages), SLOTS), np.int64)
+    width = SLOTS // RANGES
+    for r in found:
+        slots, n = np.frombuffer(zlib.decompress(r["blob"]), np.int64).reshape(2, -1)
+        counts[languages.index(r["lang"]), r["part"] * width + slots] = n
+    return TextModel(languages, weights_of(counts))
+
+
+def weights_of(counts: np.ndarray) -> np.ndarray:
+    """Languages x slots counts to slots x languages weights."""
+    if not len(counts):
+        return np.zeros((SLOTS, 0), np.float32)
+    filled = counts.any(axis=0)
+    logs = np.log((counts + 1) / (counts.sum(axis=1, keepdims=True) + filled.sum()))
+    return np.where(filled, logs - logs.mean(axis=0), 0.0).T.astype(np.float32)
+
+
+_memo: dict[str, np.ndarray] = {}
 _memo_of: list = [None]
 
 
-def _read_chunk(chunk: str, weights: dict[str, np.ndarray], open_table: bool) -> tuple[np.ndarray | None, tuple]:
-    """The summed weights of a chunk's common features, and its other features where the table goes on."""
-    total, others = None, []
-    for word in WORD.findall(chunk):
-        for f in features(word):
-            w = weights.get(f)
-            if w is not None:
-                total = w if total is None else total + w
-            elif open_table:
-                others.append(f)
-    return total, tuple(others)
+def _forget() -> None:
+    _memo.clear()
+    _memo_of[0] = None
 
 
-def _likelihoods(model: tuple, texts: list[str]) -> tuple[list, list, list]:
-    """For each text the sum over its common features, its other features, and their counts."""
-    size, weights, open_table = model
-    claim("language_id", _memo.clear)
+def text_logs(model: TextModel, texts: list[str]) -> np.ndarray:
+    """Texts x languages: the tempered sums of the weights of their features."""
+    claim("language_id", _forget)
     if _memo_of[0] is not model:
         _memo.clear()
         _memo_of[0] = model
-    logs, rest, counts = [], [], []
-    for text in texts:
-        total = np.zeros(size)
-        others: Counter = Counter()
-        for chunk, n in Counter(text.lower().split()).items():
-            known = _memo.get(chunk)
-            if known is None:
-                if len(_memo) > MEMO:
-                    _memo.clear()
-                known = _memo[chunk] = _read_chunk(chunk, weights, open_table)
-            if known[0] is not None:
-                total = total + n * known[0]
-            for f in known[1]:
-                others[f] += n
-        logs.append(total.tolist())
-        rest.append(list(others))
-        counts.append(list(others.values()))
-    return logs, rest, counts
+    out = np.zeros((len(texts), len(model.languages)))
+    for i, text in enumerate(texts):
+        counts = Counter(text.lower().split())
+        if not counts:
+            continue
+        fresh = [c for c in counts if c not in _memo]
+        if fresh:
+            if len(_memo) > MEMO:
+                _memo.clear()
+                fresh = list(counts)
+            _remember(model, fresh)
+        out[i] = np.fromiter(counts.values(), float, len(counts)) @ np.array([_memo[c] for c in counts])
+    return out * TEMPER
+
+
+def _remember(model: TextModel, chunks: list[str]) -> None:
+    slots, owner = [], []
+    for i, chunk in enumerate(chunks):
+        for word in [chunk] if chunk.isalpha() else WORD.findall(chunk):
+            own = slots_of(word)
+            slots += own
+            owner += [i] * len(own)
+    sums = np.zeros((len(chunks), len(model.languages)))
+    np.add.at(sums, owner, model.weights[slots].astype(float))
+    _memo.update(zip(chunks, sums))
 
 
 def evidence(records: DataFrame, model: TextModel) -> DataFrame:
     """records (key, text, is_html, declared, address, host) with `text_logs`, the text's log likelihoods, in place of the text."""
-    shared = records.sparkSession.sparkContext.broadcast((len(model.languages), model.weights, model.rest is not None))
+    shared = records.sparkSession.sparkContext.broadcast(model)  # 4 * SLOTS bytes for each language
     bound_batches(records.sparkSession)
 
-    @F.pandas_udf("logs array<double>, features array<string>, counts array<long>")
-    def read(texts: pd.Series, html: pd.Series) -> pd.DataFrame:
-        found = _likelihoods(shared.value, [page_text(t) if h else t for t, h in zip(texts.tolist(), html.tolist())])
-        return pd.DataFrame(dict(zip(("logs", "features", "counts"), (pd.Series(c, dtype=object) for c in found))))
-
-    seen = records.withColumn("_read", read(F.coalesce("text", F.lit("")), "is_html")).drop("text", "is_html")
-    tempered = lambda logs: F.transform(logs, lambda x: x * TEMPER)
-    if model.rest is None:
-        return seen.withColumn("text_logs", tempered("_read.logs")).drop("_read")
-    seen = materialise(seen.withColumn("_row", F.monotonically_increasing_id()), "lang-texts")
-    others = seen.select("_row", F.explode(F.arrays_zip(F.col("_read.features").alias("feature"), F.col("_read.counts").alias("n"))).alias("f")).select("_row", "f.feature", "f.n")
-    summed = [F.sum(F.col("n") * F.get("weights", i)) for i in range(len(model.languages))]
-    added = others.join(model.rest.hint("merge"), "feature").groupBy("_row").agg(F.array(*summed).alias("_added"))
-    seen = seen.withColumn("_logs", F.col("_read.logs")).drop("_read").join(added.hint("merge"), "_row", "left")
-    both = F.when(F.col("_added").isNull(), F.col("_logs")).otherwise(F.zip_with("_logs", "_added", lambda a, b: a + b))
-    return seen.withColumn("text_logs", tempered(both)).drop("_row", "_logs", "_added")
+    @F.pandas_udf("array<double>")
+    def read(texts: pd.Series, html: pd.Series) -> pd.Series:
+        found = text_logs(shared.value, [page_text(t) if h else t for t, h in zip(texts.tolist(), html.tolist())])
+        return pd.Series(list(found), dtype=object)
+
+    return records.withColumn("text_logs", read(F.coalesce("text", F.lit("")), "is_html")).drop("text", "is_html")
 
 
 #: Two-letter codes of countries whose common language has another code.
