@@ -222,12 +222,18 @@ def _rows_of_interlaced(height: int) -> np.ndarray:
     return np.concatenate([np.arange(a, height, s) for a, s in ((0, 8), (4, 8), (2, 4), (1, 2))])
 
 
-def decode_gif(data: bytes):
+#: A canvas beyond so many pixels is refused with an error: a header of a few bytes can claim 4 G of them.
+MAX_PIXELS = 1 << 24
+
+
+def decode_gif(data: bytes, max_pixels: int = MAX_PIXELS):
     """Yield the frames of a GIF; a GifError says what is wrong with a broken one."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise GifError("not a GIF")
     width, height, flags, background, _ = struct.unpack_from("<HHBBB", data, 6)
     shared, at = _palette(data, 13, flags)
+    if width * height > max_pixels:
+        raise GifError(f"a canvas of {width} x {height} is over {max_pixels} pixels")
     canvas = np.zeros((height, width, 3), np.uint8)
     ground = shared[background] if shared is not None and background < len(shared) else np.zeros(3, np.uint8)
     canvas[:] = ground
@@ -349,7 +355,7 @@ def _frames(batches):
                     if len(rows) == 16:
                         yield _frame_batch(rows)
                         rows = []
-            except (GifError, IndexError, struct.error) as e:
+            except (GifError, IndexError, ValueError, OverflowError, MemoryError, struct.error) as e:
                 error = str(e) or type(e).__name__
             if error is not None:
                 rows.append((media_id, None, None, None, None, None, None, None, None, error))
@@ -364,7 +370,8 @@ def _frame_batch(rows):
 
 
 def gif_frames(media: DataFrame, id_col: str = "media_id", media_col: str = "media") -> DataFrame:
-    """One row for each decoded frame; a broken GIF ends in one row with `error` (frames before the fault stay)."""
+    """One row for each decoded frame; a broken GIF, or one over MAX_PIXELS, ends in one row with `error` (frames before
+    the fault stay)."""
     return arrow_map(media.selectExpr(f"cast(`{id_col}` AS long) AS media_id", f"`{media_col}` AS media"), _frames, FRAME_SCHEMA)
 
 

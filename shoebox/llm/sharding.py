@@ -1,15 +1,16 @@
 """Sharding by best-fit-decreasing bin packing of indivisible groups.
 
-Rows of equal text form one group. Groups are summarised as a histogram (group bytes, salt) -> count, which is
-what the driver sees: equal sizes are interchangeable, so a size class is placed in bulk. Sizes from the largest
+Rows of equal text form one group. Groups are summarised as a histogram (size class -> count), which is
+what the driver sees: equal sizes are interchangeable, so a class is placed in bulk. Sizes from the largest
 down enter the bin with the tightest remaining capacity that still holds them, found in a balanced (AVL) tree
 of capacities. The capacity is the smallest one, found by bisection, for which the fixed number of bins is
 enough, so the fullest shard is as small as this packing can make it.
 
-Scale: the driver's table has one line for each distinct group size (sizes d need at least d*d/2 bytes of
-text, so 100 TB have under 15 million), times SALTS; sizes above FINE bytes are counted in classes of 0.1 %
-rounded up, which bounds it to about 80,000 lines whatever the input. Numbers within a class and slots within
-a shard are prefix sums over salted buckets, so no shard, class or group is ever sorted in one task.
+Scale: a size class is the group's bytes rounded up to CLASS_BITS binary digits, at every size alike, so a class is exact up to
+8,192 bytes and at most 0.025 % above the bytes beyond; there are at most 4,096 classes for each doubling, 160,000 up to
+a petabyte, and that bounds what the driver holds. Numbers within a class and slots within a shard come from sorted
+partitions plus offsets: a row's place in its partition is known where it is written, and only counts by
+(class or shard, partition) are added up. No shard, class or group is ever gathered in one task.
 
 Defined results: null text = no bytes (size 1) but equal to the empty text; null ids stay null and get a slot
 like any row; repeated rows stay and share their group's shard; an empty table gives an empty result.
@@ -21,10 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import materialise, read_table
+from ._common import materialise, read_table, spark_partitions
 
-#: Group sizes up to FINE are packed by their exact bytes, larger ones by a class at most 0.1 % above.
-FINE, SALTS, SLOT_BUCKETS = 1 << 16, 4, 64
+CLASS_BITS = 13
 
 
 class CapacityTree:
@@ -153,6 +153,22 @@ def pack(classes: list[tuple[int, int]], bins: int) -> list[tuple[int, int, int]
     return best
 
 
+def size_class(size: str):
+    """size rounded up to a number of CLASS_BITS binary digits and zeros."""
+    unit = f"shiftleft(1L, greatest(0, length(bin({size})) - {CLASS_BITS}))"
+    return F.expr(f"(({size} + {unit} - 1) div {unit}) * {unit}")
+
+
+def _numbered(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df, whose partitions are sorted by key, plus `number`: gapless from 0 within each key. Rows are written with their
+    place in the partition; only counts by key and partition are added up."""
+    written = materialise(df.withColumn("_place", F.monotonically_increasing_id()), name).withColumn("_part", F.shiftright("_place", 33))
+    counts = written.groupBy(key, "_part").agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(key, "_part", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    return written.join(counts, [key, "_part"]).withColumn("number", F.col("_place") - F.col("_first") + F.col("_before")).drop("_place", "_part", "_first", "_before")
+
+
 def shard_rows(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row; equal texts share a shard."""
     spark = docs.sparkSession
@@ -164,34 +180,21 @@ def shard_rows(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_c
         F.unhex(F.sha2(text, 256)).alias("group"),
     )
     rows = materialise(rows, "shard-rows")
-    size = F.sum("size")
-    coarse = F.pow(F.lit(1.001), F.ceil(F.log("bytes") / F.log(F.lit(1.001))))
-    groups = (
-        rows.groupBy("group").agg(size.alias("bytes"))
-        .withColumn("class", F.when(F.col("bytes") <= FINE, F.col("bytes")).otherwise(F.greatest("bytes", F.ceil(coarse))).cast("long"))
-        .withColumn("salt", F.pmod(F.hash("group"), F.lit(SALTS)))
-    )
-    groups = materialise(groups, "shard-groups")
-    counts = sorted((r["class"], r["salt"], r["n"]) for r in groups.groupBy("class", "salt").agg(F.count("*").alias("n")).collect())
-    placed = pack([(c, n) for c, _, n in counts], shards)
-    ranges, at = [], {}
+    groups = rows.groupBy("group").agg(F.sum("size").alias("bytes")).select("group", size_class("bytes").alias("class"))
+    ranged = groups.repartitionByRange(spark_partitions(spark), "class", "group").sortWithinPartitions("class", "group")
+    groups = _numbered(ranged, "class", "shard-groups")
+    counts = sorted(tuple(r) for r in groups.groupBy("class").agg(F.count("*")).collect())
+    placed, ranges, at = pack(counts, shards), [], {}
     for i, shard, n in placed:
         a = at.get(i, 0)
-        ranges.append((counts[i][0], counts[i][1], a, a + n, shard))
+        ranges.append((counts[i][0], a, a + n, shard))
         at[i] = a + n
-    # at most (classes x salts + bins) lines, see the module's bound
-    plan = spark.createDataFrame(ranges, "class long, salt int, a long, b long, shard int")
-    number = F.row_number().over(Window.partitionBy("class", "salt").orderBy("group")) - 1
-    homes = groups.select("group", "class", "salt", number.alias("rank")).join(plan, ["class", "salt"]).where("rank >= a AND rank < b").select("group", "shard")
-    dealt = materialise(rows.join(homes, "group").select("doc_id", "size", "text_crc32", "shard", F.monotonically_increasing_id().alias("uid")), "shard-dealt")
-    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("uid"), F.lit(SLOT_BUCKETS)))
-    before = dealt.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
-    before = before.select("shard", "bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("offset"))
-    slot = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("uid")) - 1
-    return (
-        dealt.withColumn("in_bucket", slot).join(F.broadcast(before), ["shard", "bucket"])  # shards x SLOT_BUCKETS lines
-        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("in_bucket") + F.col("offset")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-    )
+    # a line for each class and for each bin that a class fills: see the module's bound
+    plan = F.broadcast(spark.createDataFrame(ranges, "class long, a long, b long, shard int"))
+    homes = groups.join(plan, "class").where("number >= a AND number < b").select("group", "shard")
+    dealt = rows.join(homes, "group").select("doc_id", "size", "text_crc32", "shard").sortWithinPartitions("shard")
+    dealt = _numbered(dealt, "shard", "shard-dealt")
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("number").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

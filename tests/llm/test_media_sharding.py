@@ -69,9 +69,9 @@ def test_interlaced_and_broken():
 
 def test_frames_table(spark):
     good = g.store_bytes(g.pad_payload(b"hello"))
-    df = spark.createDataFrame([(1, bytearray(good)), (2, None), (3, bytearray(b"junk"))], "media_id long, media binary")
+    df = spark.createDataFrame([(1, bytearray(good)), (2, None), (3, bytearray(b"junk")), (4, bytearray(b"GIF89a" + b"\xff" * 4 + bytes(20))), (5, bytearray(good[:-9]))], "media_id long, media binary")
     got = {r.media_id: r for r in g.gif_frames(df).collect()}
-    assert got[1].error is None and (got[1].width, got[1].height, sum(got[1].histogram)) == (64, 1, 64) and got[2].error and got[3].error
+    assert got[1].error is None and (got[1].width, got[1].height, sum(got[1].histogram)) == (64, 1, 64) and got[2].error and got[3].error and "over" in got[4].error and got[5].error
 
 
 def test_media_columns(odd, odd_rows):
@@ -99,6 +99,24 @@ def test_shards(odd, odd_rows):
     assert all(len(s) == 1 for s in by_text.values())
 
 
+def test_shards_number_groups_of_one_size(spark):
+    """Many groups of equal size, dealt over many partitions: whole groups, gapless slots, near equal bytes."""
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', lpad(cast(id % 1500 AS string), 4, '0')) AS text").repartition(7)
+    rows = sharding.shard_rows(docs, shards=5).collect()
+    home, slots = {}, collections.defaultdict(list)
+    for r in rows:
+        assert home.setdefault(r.doc_id % 1500, r.shard) == r.shard
+        slots[r.shard].append(r.slot)
+    assert len(rows) == 3000 and all(sorted(s) == list(range(len(s))) for s in slots.values()) and {len(s) for s in slots.values()} == {600}
+
+
+def test_size_classes(spark):
+    sizes = [1, 2, 8191, 8192, 8193, 8195, 16384, 16387, 1 << 40, (1 << 40) + 1]
+    got = [r.c for r in spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "i long, bytes long").select("i", sharding.size_class("bytes").alias("c")).orderBy("i").collect()]
+    step = lambda s: 1 << max(0, s.bit_length() - 13)
+    assert got == [-(-s // step(s)) * step(s) for s in sizes] and got[:4] == sizes[:4] and got[-1] == (1 << 40) + (1 << 28)
+
+
 def test_packing_is_tight():
     rnd = random.Random(4)
     classes = sorted({rnd.randint(1, 9000): rnd.randint(1, 5) for _ in range(2000)}.items())
