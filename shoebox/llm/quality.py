@@ -72,6 +72,7 @@ def vector(text: str) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     weights: np.ndarray
     thresholds: np.ndarray
+    values: np.ndarray  # the rating that each grade stands for, in order
 
     def grades(self, score: float) -> np.ndarray:
         """Probability of each grade at w . x = score."""
@@ -81,13 +82,11 @@ class Model:
 
 def train(slots: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray, rounds: int = 400, penalty: float = 1e-4) -> Model | None:
     """Maximum penalised likelihood with grades weighted equally, by Adam steps; thresholds stay ordered because
-    their gaps are exponentials."""
-    kinds = np.unique(grades)
-    if len(kinds) < 2:
+    their gaps are exponentials. The grades are the different ratings met, in order."""
+    kinds, grade = np.unique(grades, return_inverse=True)
+    k = len(kinds)
+    if k < 2:
         return None
-    grade = np.searchsorted(kinds, grades)
-    k = int(kinds.max()) + 1 if kinds.min() >= 0 and kinds.max() < 32 else len(kinds)
-    grade = np.asarray(grades) if k == int(kinds.max()) + 1 else grade
     cost = 1.0 / np.bincount(grade, minlength=k).clip(1)[grade]
     cost /= cost.sum()
     rows = np.repeat(np.arange(len(slots)), [len(s) for s in slots])
@@ -114,7 +113,7 @@ def train(slots: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray,
         v[:] = 0.999 * v + 0.001 * g * g
         step = 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8) / np.sqrt(1 + t / 50)
         w, base, gaps = w - step[:WIDTH], base - step[WIDTH], gaps - step[WIDTH + 1 :]
-    return Model(w, base + np.r_[0.0, np.cumsum(np.exp(gaps))])
+    return Model(w, base + np.r_[0.0, np.cumsum(np.exp(gaps))], kinds)
 
 
 def training_sample(docs: DataFrame, ratings: DataFrame, per_grade: int = SAMPLE):
@@ -179,7 +178,8 @@ def grade_documents(docs: DataFrame, model: Model | None, at_least: int = 1, id_
         found = texts.tolist()
         p = np.array([shared.value.grades(s) for s in _scores(shared.value, found)]).reshape(len(found), -1)
         p[[not t.split() for t in found]] = np.eye(p.shape[1])[0] if p.shape[1] else 0
-        return pd.DataFrame({"expected": (p @ np.arange(p.shape[1])).round(6), "tail": p[:, at_least:].sum(axis=1).round(6)})
+        values = shared.value.values
+        return pd.DataFrame({"expected": (p @ values).round(6), "tail": p[:, values >= at_least].sum(axis=1).round(6)})
 
     out = source.withColumn("g", grade("text"))
     return out.select(real_id().alias("doc_id"), F.col("g.expected").alias("expected_grade"), F.col("g.tail").alias("tail_probability"), (F.col("g.tail") >= 0.5).alias("keep"))
