@@ -2,8 +2,8 @@
 dedup, packing. Each stage is written as Parquet and read again as the next one's input; all but the last return
 the columns of documents.
 
-Rows whose doc_id is null can't be told apart by a stage that decides by id; they stay. Of rows that repeat an id and a text
-one stays from the exact dedup on. Extra columns are dropped at the first stage.
+Every stage decides by row, told apart by id and text: null ids and ids that several texts share are judged like any other. Of rows
+that repeat an id and a text one stays from the exact dedup on. Extra columns are dropped at the first stage.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoebox.llm._common import bound_batches
+from shoebox.llm._common import ASCII_LOWER, ASCII_UPPER, NULL_ID, bound_batches
 from shoebox.llm.exact_dedup import exact_dedup
 from shoebox.llm.ngram_join import jaccard_components
 from shoebox.llm.packing import packed_digests
@@ -22,13 +22,8 @@ from shoebox.operators.scratch import materialise
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _chosen(docs: DataFrame, ids: DataFrame, once: bool = False) -> DataFrame:
-    """The rows of docs whose id is among ids (one column doc_id), repeated rows once if asked; rows without an id stay."""
-    chosen = ids.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "chosen_id").distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(chosen, F.col("doc_id") == F.col("chosen_id"), "left_semi")
-    if once:  # the join has dealt the rows by doc_id: no further shuffle
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+def _known_id():
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,14 +36,20 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for the case of A-Z the row with the largest doc_id stays."""
-    found = exact_dedup(docs.select("doc_id", "text"), keep="largest")
-    return _chosen(docs, found.where("kept").select("doc_id"), once=True).select(*COLUMNS)
+    found = exact_dedup(docs.select("doc_id", "text"), keep="largest").where("kept")
+    found = found.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("kept_id"), F.unhex("text_sha256").alias("kept_text"))
+    text = F.unhex(F.sha2(F.translate(F.coalesce("text", F.lit("")), ASCII_UPPER, ASCII_LOWER), 256))
+    keyed = docs.withColumns({"_id": _known_id(), "_text": text})
+    # the join has dealt the rows by id and text: what drops repeated rows needs no further shuffle
+    kept = keyed.join(found.hint("merge"), (F.col("_id") == F.col("kept_id")) & (F.col("_text") == F.col("kept_text")), "left_semi")
+    return kept.dropDuplicates(["_id", "_text"]).select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the one with the smallest doc_id stays."""
-    found = jaccard_components(docs.select("doc_id", "text"))
-    return _chosen(docs, found.where("doc_id = component_id").select("doc_id")).select(*COLUMNS)
+    """Of each component of linked documents the first, by doc_id, stays."""
+    found = jaccard_components(docs.select("doc_id", "text")).where("first").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("kept_id"), F.col("row").alias("kept_row"))
+    keyed = docs.withColumns({"_id": _known_id(), "_row": F.xxhash64(_known_id(), F.coalesce("text", F.lit("")))})
+    return keyed.join(found.hint("merge"), (F.col("_id") == F.col("kept_id")) & (F.col("_row") == F.col("kept_row")), "left_semi").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,15 +63,16 @@ def sets_of(rows):
 
 def linked(rows):
     sets = sets_of(rows)
-    label = [key(i) for i, _ in sets]
+    label = list(range(len(sets)))
     changed = True
     while changed:
         changed = False
         for a, (_, x) in enumerate(sets):
             for b, (_, y) in enumerate(sets):
-                if x and y and 100 * len(x & y) >= 85 * len(x | y) and label[a] > label[b]:
+                if x and y and label[a] > label[b] and 100 * len(x & y) >= 85 * len(x | y):
                     label[a], changed = label[b], True
-    return sorted((key(i), len(s), c) for (i, s), c in zip(sets, label))
+    least = {c: min(key(rows[i][0]) for i in range(len(rows)) if label[i] == c) for c in set(label)}
+    return sorted((key(i), len(s), least[c]) for (i, s), c in zip(sets, label))
 
 
 def components(df, **kw):
@@ -98,6 +99,22 @@ def test_ngram_join_chains_of_edits(spark, block_tokens):
     assert components(spark.createDataFrame(rows, "doc_id long, text string"), block_tokens=block_tokens) == linked(rows)
 
 
+def test_ngram_join_ids_that_repeat(spark):
+    """Unrelated texts without an id, or under one id, don't tie what is near each of them."""
+    rnd = random.Random(14)
+    x, y = prose(rnd, 60).split(), prose(rnd, 60).split()
+    near = lambda w: " ".join([*w[:-1], "changed"])
+    for i in (None, 5):
+        rows = [(i, " ".join(x)), (i, " ".join(y)), (10, near(x)), (20, near(y)), (i, " ".join(x))]
+        got = components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+        assert got == linked(rows) and len({c for _, _, c in got}) == 1  # both components hold the id
+        out = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).where("first").collect()
+        assert len({r.row for r in out}) == 2 and {r.doc_id for r in out} == {i}
+    rows = [(5, " ".join(x)), (5, " ".join(y)), (3, near(x)), (20, near(y))]
+    got = components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == linked(rows) and {i: c for i, _, c in got if i != 5} == {3: 3, 20: 5}
+
+
 def test_cluster_components_equal_brute_force():
     rnd = random.Random(3)
     for _ in range(60):

@@ -8,7 +8,7 @@ import pytest
 import corpus_pipeline as p
 
 from .conftest import prose
-from .test_dedup import LOW, brute_repeats, linked
+from .test_dedup import LOW, brute_repeats, key, linked
 
 DATA = "/root/testdata/sf0.001"
 
@@ -22,13 +22,17 @@ def rows_of(df):
     return [(r.doc_id, r.text) for r in df.collect()]
 
 
+def low(text):
+    return (text or "").translate(LOW)
+
+
 def test_exact_copies(spark, odd_rows):
-    rows = [r for r in odd_rows if r[0] is not None]
+    rows = [*odd_rows, (None, "only here"), (5, "another text of an id"), (5, "another text of an id")]
     best = {}
     for i, t in rows:
-        best[(t or "").translate(LOW)] = max(i, best.get((t or "").translate(LOW), 0))
-    got = rows_of(p.exact_copies(spark, docs_of(spark, odd_rows), None))
-    assert sorted(i for i, _ in got if i is not None) == sorted(best.values()) and sum(i is None for i, _ in got) == 2
+        best[low(t)] = max(key(i), best.get(low(t), key(None)))
+    got = [(key(i), low(t)) for i, t in rows_of(p.exact_copies(spark, docs_of(spark, rows), None))]
+    assert sorted(got) == sorted((i, t) for t, i in best.items())
 
 
 def test_near_copies(spark, odd_rows):
@@ -37,6 +41,14 @@ def test_near_copies(spark, odd_rows):
     assert sorted(i for i, _ in got) == [i for i, _, c in linked(rows) if i == c]
 
 
+def test_ids_that_repeat(spark):
+    """Three rows, two with one id and different texts: a stage that changes nothing returns three."""
+    rnd = random.Random(3)
+    rows = [(5, prose(rnd, 40)), (5, prose(rnd, 50)), (None, prose(rnd, 40)), (None, prose(rnd, 30)), (6, prose(rnd, 40))]
+    for stage in (p.exact_copies, p.near_copies, p.repeated_passages):
+        assert sorted(rows_of(stage(spark, docs_of(spark, rows), None)), key=str) == sorted(rows, key=str)
+
+
 def test_repeated_passages(spark):
     rnd = random.Random(8)
     passage = prose(rnd, 60)
