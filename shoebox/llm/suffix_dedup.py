@@ -172,10 +172,11 @@ def _find_anchors(batches, buckets: int, chunk: int):
     def deal():
         h, uid, packed = (np.concatenate(c) for c in zip(*held))
         order = np.argsort(h, kind="stable")
-        h, uid, packed = h[order], uid[order], packed[order]
-        first = np.r_[True, h[1:] != h[:-1]]
-        many = ~first | ~np.r_[first[1:], True]
-        marks = h[first & many]
+        first = np.r_[True, h[order][1:] != h[order][:-1]]
+        again = ~first | ~np.r_[first[1:], True]
+        marks = h[order][first & again]
+        many = np.zeros(len(h), bool)  # anchors stay in the order of their texts, which packs better
+        many[order] = again
         asked = [np.concatenate([h[~many], marks]), np.concatenate([uid[~many], np.zeros(len(marks), np.int64)]), np.concatenate([packed[~many], np.full(len(marks), -1)])]
         rows = _split(_gram_bucket(asked[0], buckets), asked, 0)
         if many.any():
@@ -228,7 +229,9 @@ def _repeated_grams(batches, buckets: int):
         keep = (np.r_[False, same] | np.r_[same, False]) & (packed >= 0)
         h, uid, packed = h[keep], uid[keep], packed[keep]
         if len(h):
-            yield _rows(_split(_bucket(uid, buckets), [uid, h, packed], 0))
+            order = np.lexsort((packed, uid))
+            uid, h, packed = uid[order], h[order], packed[order]
+            yield _rows(_split(_bucket(uid, buckets), [uid, h.view(np.int64), packed], 0))
 
 
 def _gather(batches, width: int, keys: int):
@@ -361,9 +364,9 @@ def _contexts(raw: bytes, q: int, left: int, behind: int, by_window: bool):
 
 def _cut_contexts(batches, buckets: int, heavy):
     """Front-coded runs of repeated anchors' contexts (kind 1: whole, by gram; kind 3: window by window, by its bytes) and
-    windows settled here (kind 2: uid, doc, first, last)."""
+    windows settled here (kind 2: uid, doc, windows)."""
     held: dict[bytes, list] = {}
-    settled: list[tuple[int, int, int, int]] = []
+    settled: list[tuple[int, int, int]] = []
     hot = heavy.value
 
     def deal():
@@ -399,9 +402,9 @@ def _cut_contexts(batches, buckets: int, heavy):
                         continue
                     other = (found[1], found[2], found[3] >> 14)
                     if own > other:
-                        settled.append((uid, doc, q - first, q - last))
+                        settled.append((uid, doc, stretch(q - first, q - last)))
                     elif own < other:
-                        settled.append((found[2], found[1], other[2] - first, other[2] - last))
+                        settled.append((found[2], found[1], stretch(other[2] - first, other[2] - last)))
                         found[1:4] = doc, uid, q << 14 | first << 7 | last
             if len(held) + len(settled) >= FLUSH_CONTEXTS:
                 yield from deal()
@@ -409,7 +412,7 @@ def _cut_contexts(batches, buckets: int, heavy):
         yield from deal()
 
 
-def _group_windows(group: list[list], out: list[tuple[int, int, int, int]]) -> None:
+def _group_windows(group: list[list], out: list[tuple[int, int, int]]) -> None:
     """Windows of one gram's different contexts: [key, right length, place (doc, uid, at), left, behind, longest right prefix
     shared with any other context]."""
     repeats: dict[int, list[int]] = {}
@@ -434,13 +437,13 @@ def _group_windows(group: list[list], out: list[tuple[int, int, int, int]]) -> N
         run = last = offsets[0]
         for o in [*offsets[1:], None]:
             if o is None or o != last + 1:
-                out.append((uid, doc, at - last, at - run))
+                out.append((uid, doc, stretch(at - last, at - run)))
                 run = o
             last = o
 
 
-def merge_runs(runs: list, out: list[tuple[int, int, int, int]], by_window: bool = False):
-    """Merge front-coded runs; put (uid, doc, first, last) of repeated window starts into out, yielding now and then. Runs
+def merge_runs(runs: list, out: list[tuple[int, int, int]], by_window: bool = False):
+    """Merge front-coded runs; put (uid, doc, stretch of repeated window starts) into out, yielding now and then. Runs
     of single windows are settled by equal keys alone."""
     group: list[list] = []
     for key, shared, right, doc, uid, packed in LoserTree([read_run(r) for r in runs]):
@@ -450,7 +453,7 @@ def merge_runs(runs: list, out: list[tuple[int, int, int, int]], by_window: bool
             if shared == len(key) == len(before[0]):
                 later, at = (place, place[2]) if place > before[2] else (before[2], before[2][2])
                 if place != before[2]:
-                    out.append((later[1], later[0], at - left, at - behind))
+                    out.append((later[1], later[0], stretch(at - left, at - behind)))
                     before[2] = min(place, before[2])
                 continue
             # the end mark keeps contexts in the order of their right parts: neighbours share the longest
@@ -469,7 +472,7 @@ def merge_runs(runs: list, out: list[tuple[int, int, int, int]], by_window: bool
 
 
 def _merge(batches, buckets: int):
-    out: list[tuple[int, int, int, int]] = []
+    out: list[tuple[int, int, int]] = []
 
     def deal():
         columns = [np.array(c, np.int64) for c in zip(*out)]
@@ -488,11 +491,17 @@ def _merge(batches, buckets: int):
         yield from deal()
 
 
-def spans_of(windows: np.ndarray, size: int) -> list[tuple[int, int]]:
-    """Maximal runs of bytes that the windows starting at first..last (rows) cover, within a text of size bytes."""
+def stretch(first: int, last: int) -> int:
+    """Window starts first..last of one anchor, so at most SPREAD apart, as one number."""
+    return first << 7 | last - first
+
+
+def spans_of(stretches: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """Maximal runs of bytes that the windows of the stretches cover, within a text of size bytes."""
     spans: list[tuple[int, int]] = []
-    for first, last in windows[np.argsort(windows[:, 0], kind="stable")].tolist():
-        end = min(last + LENGTH, size)
+    for packed in np.sort(stretches).tolist():
+        first = packed >> 7
+        end = min(first + (packed & 127) + LENGTH, size)
         if spans and first <= spans[-1][1]:
             if end > spans[-1][1]:
                 spans[-1] = (spans[-1][0], end)
@@ -510,7 +519,7 @@ def _remove(batches, as_text: bool):
         found = []
         for text, blob in zip(batch.column("text").to_pylist(), batch.column("blob").to_pylist()):
             raw = text.encode()
-            spans = spans_of(np.frombuffer(blob, np.int64).reshape(-1, 2), len(raw)) if blob else []
+            spans = spans_of(np.frombuffer(blob, np.int64), len(raw)) if blob else []
             kept, at = [], 0
             for a, b in spans:
                 kept.append(raw[at:a])
@@ -542,7 +551,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # both joins read the texts by uid: one exchange serves both
     contexts = source.join(repeated.hint("merge"), F.col("uid") == F.col("of_uid")).select("doc_id", "uid", "text", "blob")
     merged = arrow_map(by_bucket(arrow_map(contexts, lambda b: _cut_contexts(b, n, hot), rows)), partial(_merge, buckets=n), rows)
-    windows = arrow_map(by_bucket(merged), partial(_gather, width=4, keys=2), "of_uid long, of_doc long, blob binary")
+    windows = arrow_map(by_bucket(merged), partial(_gather, width=3, keys=2), "of_uid long, of_doc long, blob binary")
     # uids alone are the join's key, as above; different rows of one uid are told apart by their ids
     same = (F.col("uid") == F.col("of_uid")) & (F.col("doc_id").bitwiseXOR(F.col("of_doc")) == 0)
     carried = [f"carried_{i}" for i in range(len(carry))]
