@@ -83,8 +83,8 @@ def test_ngram_join_odd_rows(odd, odd_rows):
     assert components(odd) == linked(odd_rows)
 
 
-@pytest.mark.parametrize("block_tokens", [ngram_join.BLOCK_TOKENS, 600])
-def test_ngram_join_chains_of_edits(spark, block_tokens):
+@pytest.mark.parametrize("route", [{}, {"block_tokens": 600}, {"pivot_sets": 4}, {"pivot_sets": 2, "block_tokens": 600}])
+def test_ngram_join_chains_of_edits(spark, route):
     """Chains in which neighbours link and ends don't, and a group far larger than a short list."""
     rnd = random.Random(2)
     rows, n = [], 0
@@ -96,7 +96,7 @@ def test_ngram_join_chains_of_edits(spark, block_tokens):
             rows.append((n, " ".join(words)))
             n += 1
     rnd.shuffle(rows)
-    assert components(spark.createDataFrame(rows, "doc_id long, text string"), block_tokens=block_tokens) == linked(rows)
+    assert components(spark.createDataFrame(rows, "doc_id long, text string"), **route) == linked(rows)
 
 
 def test_ngram_join_ids_that_repeat(spark):
