@@ -127,10 +127,10 @@ def contrast(gray: np.ndarray) -> float:
     return float(min(1.0, gray.std() / 64.0))
 
 
-def quality(rgb: np.ndarray) -> dict:
+def quality(rgb: np.ndarray, detector: Callable | None = None) -> dict:
     """I-09, I-08: sharpness, exposure, contrast, and what the face plug-in says (nothing without one)."""
     gray = to_gray(rgb)
-    face, eyes = face_detector(gray) if face_detector else (False, None)
+    face, eyes = detector(gray) if detector else (False, None)
     return {"sharpness": laplacian_variance(gray), "exposure": exposure(gray), "contrast": contrast(gray), "eyes_open": eyes, "has_face": bool(face)}
 
 
@@ -174,11 +174,13 @@ def analyse_images(images: DataFrame, side: int = 256) -> DataFrame:
     return images.select("file_id", found.alias("a")).select("file_id", "a.*")
 
 
-def analysis_quality(images: DataFrame) -> DataFrame:
-    """I-09: images (file_id, height, width, nChannels, data) to (file_id, sharpness, exposure, contrast, eyes_open, has_face)."""
+def analysis_quality(images: DataFrame, detector: Callable | None = None) -> DataFrame:
+    """I-09: images (file_id, height, width, nChannels, data) to (file_id, sharpness, exposure, contrast, eyes_open, has_face).
+    The detector, else the module's, travels to the executors with the function."""
+    detector = detector or face_detector
 
     def run(h: pd.Series, w: pd.Series, c: pd.Series, d: pd.Series) -> pd.DataFrame:
-        rows = [quality(pixels(int(a), int(b), int(n), x)) for a, b, n, x in zip(h, w, c, d)]
+        rows = [quality(pixels(int(a), int(b), int(n), x), detector) for a, b, n, x in zip(h, w, c, d)]
         return pd.DataFrame({n: pd.Series([r[n] for r in rows], dtype=object) for n in ("sharpness", "exposure", "contrast", "eyes_open", "has_face")})
 
     udf = F.pandas_udf(run, QUALITY)

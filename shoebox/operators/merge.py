@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.paths import nfc, under_root
 from ..schema import DERIVED, FILES, conform, is_active
+from .scratch import materialise
 
 
 def diff(files: DataFrame, seen: DataFrame) -> DataFrame:
@@ -66,14 +67,31 @@ def set_flag(files: DataFrame, ids: DataFrame, flag: str, value: bool = True) ->
 
 
 def path_updates(files: DataFrame, moves: DataFrame) -> DataFrame:
-    """M-05, J-13: moves (id, new_path, seq) judged: `moved`, `replaces` (a dead row holds the path) or `conflict` (a live one
-    does, or an earlier move of the same batch went there)."""
+    """M-05, J-13: moves (id, new_path, seq) judged in the order of seq: `moved`, `replaces` (a dead row holds the path) or `conflict` (a
+    live one does, or an earlier move of the batch has gone there). A file moves at most once in a batch, and one that has
+    moved away earlier, itself without a conflict, holds its path no more.
+
+    Of the moves to a path only one can succeed: the first after its live holder's own move. It does if that one did, which
+    in turn may wait for another; such chains are settled by doubling, in rounds that grow with the logarithm of the longest.
+    """
     holders = files.select(F.col("path").alias("new_path"), F.col("id").alias("holder"), (~is_active()).alias("dead"))
-    first = F.row_number().over(Window.partitionBy("new_path").orderBy("seq")) == 1
-    rows = moves.withColumn("_first", first).join(holders, "new_path", "left")
-    other = F.col("holder").isNotNull() & (F.col("holder") != F.col("id"))
-    outcome = F.when(~F.col("_first") | (other & ~F.col("dead")), "conflict").when(other, "replaces").otherwise("moved")
-    return rows.select("id", "new_path", outcome.alias("outcome"), F.when(other & F.col("dead"), F.col("holder")).alias("dropped"))
+    leaves = moves.select(F.col("id").alias("holder"), F.col("seq").alias("left_at"))
+    rows = moves.join(holders, "new_path", "left").join(leaves, "holder", "left")
+    rows = rows.withColumn("other", F.col("holder").isNotNull() & (F.col("holder") != F.col("id")))
+    rows = rows.withColumn("waits", F.coalesce(F.col("other") & (F.col("left_at") < F.col("seq")), F.lit(False)))
+    may = ~F.col("other") | F.col("dead") | F.col("waits")
+    first = F.row_number().over(Window.partitionBy("new_path", may).orderBy("seq")) == 1
+    rows = materialise(rows.withColumn("ok", may & first), "moves")
+    state = rows.select("id", "ok", F.when(F.col("waits") & ~F.col("dead"), F.col("holder")).alias("on"))
+    while not state.where("ok AND on IS NOT NULL").isEmpty():
+        above = state.select(F.col("id").alias("on"), F.col("ok").alias("_ok"), F.col("on").alias("_on"))
+        state = state.join(above, "on", "left").select("id", (F.col("ok") & F.coalesce("_ok", F.lit(True))).alias("ok"), F.col("_on").alias("on"))
+        state = materialise(state, "moves")
+    gone = state.select(F.col("id").alias("holder"), F.col("ok").alias("_gone"))
+    judged = rows.drop("ok").join(state.select("id", "ok"), "id").join(gone, "holder", "left")
+    dropped = F.when(F.col("ok") & F.col("other") & F.col("dead") & ~(F.col("waits") & F.coalesce("_gone", F.lit(False))), F.col("holder"))
+    outcome = F.when(~F.col("ok"), "conflict").when(dropped.isNotNull(), "replaces").otherwise("moved")
+    return judged.select("id", "new_path", outcome.alias("outcome"), dropped.alias("dropped"))
 
 
 def apply_path_updates(files: DataFrame, judged: DataFrame, dependents: dict[str, DataFrame] | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:

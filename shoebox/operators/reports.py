@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.dates import time_label
 from ..functions.paths import basename
 from ..schema import active
+from . import dedup
 from .bestshot import reason_of
 from .protect import collapse_duplicates
 
@@ -27,6 +28,21 @@ def category_counts(files: DataFrame) -> DataFrame:
     return active(files).where("category IS NOT NULL").groupBy("category").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "category")
 
 
+def category_total(files: DataFrame) -> DataFrame:
+    """A-13: how many files the categories hold together."""
+    return category_counts(files).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("total"))
+
+
+def size_candidates(files: DataFrame) -> DataFrame:
+    """J-04 as a list, O-01: candidates in the order of their sizes."""
+    return dedup.size_candidates(active(files)).orderBy("size", "id")
+
+
+def similar_thumbs(groups: DataFrame, files: DataFrame) -> DataFrame:
+    """J-03, O-07: members of similar groups with their thumbnails, by group; removed files aren't left out."""
+    return groups.select("group_id", "file_id").join(files.select(F.col("id").alias("file_id"), "thumb_path"), "file_id").orderBy("group_id", "file_id").select("group_id", "file_id", "thumb_path")
+
+
 def needs_analysis(files: DataFrame) -> DataFrame:
     """P-03."""
     return active(files).where("phash IS NULL AND scan_status <> 'error'").orderBy("id")

@@ -20,6 +20,6 @@ def query(name: str, sql: str | None = None):
 
 def load() -> tuple[dict, dict]:
     """All registered queries and their SQL."""
-    from . import queries  # noqa: F401
+    from . import catalog, queries  # noqa: F401
 
     return QUERIES, SQL
