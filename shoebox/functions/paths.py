@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ntpath
 import unicodedata
 
 import pandas as pd
@@ -99,7 +100,11 @@ def short_hash(digest: Column) -> Column:
 
 
 def long_path(path: str, platform: str) -> str:
-    r"""F-09: on Windows an absolute path over 260 characters gets the \\?\ prefix (\\?\UNC\ for a share)."""
-    if platform != "win32" or len(path) <= 260 or path.startswith("\\\\?\\"):
+    r"""F-09: on Windows a path that is 260 characters or longer once it is absolute gets, in that form, the \\?\ prefix (\\?\UNC\ for
+    a share)."""
+    if platform != "win32" or path.startswith("\\\\?\\"):
         return path
-    return "\\\\?\\UNC\\" + path[2:] if path.startswith("\\\\") else "\\\\?\\" + path
+    whole = ntpath.abspath(path)
+    if len(whole) < 260:
+        return path
+    return "\\\\?\\UNC\\" + whole[2:] if whole.startswith("\\\\") else "\\\\?\\" + whole

@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local folder only where the session names none (single-machine runs)."""
+    """spark.checkpoint.dir; a local folder only where a single-machine session names none. On a cluster that is an error:
+    executors don't share the driver's folders."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = getattr(spark.sparkContext, "_shoebox_scratch", None) or tempfile.mkdtemp(prefix="shoebox-")
         spark.sparkContext._shoebox_scratch = root
     return root.rstrip("/")

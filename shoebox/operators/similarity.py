@@ -15,21 +15,28 @@ from .scratch import materialise
 def hamming_pairs(entries: DataFrame, threshold: int, bits: int = 64) -> DataFrame:
     """J-05: (a, b, distance) of entries (id, h) at most `threshold` bits apart, a < b, each pair once.
 
-    With threshold + 1 bands two such signatures agree in one band at least, so an equi-join by (band, key) misses
-    nothing. A pair is kept only in its first agreeing band: no distinct, no second shuffle. Where many entries share
-    a signature, :func:`similar_edges` ties them together first and joins only different signatures.
+    With threshold // 2 + 1 bands two such signatures differ by one bit or none in one band at least. So one side offers its
+    key of each band and the other asks for that key and for all keys one bit away: an equi-join by (band, key) that misses nothing, over
+    half as many bands, so keys are twice as wide and candidates far fewer. A pair is kept only in its first such band: no distinct,
+    no second shuffle. Where many entries share a signature, :func:`similar_edges` ties them together first and joins only
+    different signatures.
     """
-    n = threshold + 1
     if threshold < 0:
         return entries.where("false").select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance"))
-    layout = band_layout(bits, n)
-    keys = F.array(*[band_key(F.col("h"), s, w) for s, w in layout])
-    spread = entries.select("id", "h", keys.alias("ks")).select("id", "h", "ks", F.posexplode("ks").alias("band", "key"))
-    left = spread.select(F.col("id").alias("a"), F.col("h").alias("ha"), F.col("ks").alias("ka"), "band", "key")
-    right = spread.select(F.col("id").alias("b"), F.col("h").alias("hb"), F.col("ks").alias("kb"), "band", "key")
-    before = F.exists(F.zip_with(F.slice("ka", F.lit(1), F.col("band")), F.slice("kb", F.lit(1), F.col("band")), lambda x, y: x == y), lambda same: same)
-    distance = hamming(F.col("ha"), F.col("hb"))
-    joined = left.join(right, ["band", "key"]).where((F.col("a") < F.col("b")) & (distance <= threshold) & ((F.col("band") == 0) | ~before))
+    near = 1 if threshold > 1 else 0  # bits by which keys may differ
+    layout = band_layout(bits, threshold // (near + 1) + 1)
+    keys = [band_key(F.col("h"), s, w) for s, w in layout]
+    own = F.array(*[F.struct(F.lit(i).alias("band"), k.alias("key")) for i, k in enumerate(keys)])
+    flips = [[0] + [1 << b for b in range(w)] * near for _, w in layout]
+    asked = F.array(*[F.struct(F.lit(i).alias("band"), k.bitwiseXOR(F.lit(f).cast("bigint")).alias("key")) for i, k in enumerate(keys) for f in flips[i]])
+    left = entries.select(F.col("id").alias("a"), F.col("h").alias("ha"), F.inline(asked))
+    right = entries.select(F.col("id").alias("b"), F.col("h").alias("hb"), F.inline(own))
+    differ = F.col("ha").bitwiseXOR(F.col("hb"))
+    first = F.lit(len(layout))
+    for i in reversed(range(len(layout))):
+        first = F.when(F.bit_count(band_key(differ, *layout[i])) <= near, i).otherwise(first)
+    distance = F.bit_count(differ)
+    joined = left.join(right, ["band", "key"]).where((F.col("a") < F.col("b")) & (distance <= threshold) & (first == F.col("band")))
     return joined.select("a", "b", distance.alias("distance"))
 
 

@@ -1,5 +1,7 @@
 """Moving files: trash, quarantine, organise, undo (M-09 to M-13, W-10, U-06). What to do is a DataFrame plan; the file operations
-run on the driver, one row at a time from toLocalIterator(), and are journalled every FLUSH files and at the end, interrupted or not."""
+run on the driver, one row at a time from toLocalIterator(), and are journalled every FLUSH files and at the end, interrupted or not.
+A journal entry is a small part appended to the log; the file table is written once, at the end. Should the driver die between,
+:func:`recover` brings the file table up to the log."""
 
 from __future__ import annotations
 
@@ -11,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import merge, organize, protect, reports
+from ..operators.scratch import materialise
 from ..sources.store import Store
 
 FLUSH = 200
@@ -39,10 +42,7 @@ def _remove(store: Store, ids: list[int], action: str, act: Callable[[str], str
 
     def journal() -> None:
         store.record_actions(batch, log)
-        if done:
-            store.write("files", merge.set_flag(store.read("files"), _ids(store, done), "removed"))
         log.clear()
-        done.clear()
 
     total = 0
     try:
@@ -59,6 +59,8 @@ def _remove(store: Store, ids: list[int], action: str, act: Callable[[str], str
                 journal()
     finally:
         journal()
+        if done:
+            store.write("files", merge.set_flag(store.read("files"), _ids(store, done), "removed"))
     return total, failed, len(set(ids)) - total - failed
 
 
@@ -79,19 +81,35 @@ def quarantine(store: Store, ids: list[int], folder: str) -> tuple[int, int, int
     return _remove(store, ids, "quarantine", act)
 
 
-def _repath(store: Store, moved: list[tuple[int, str]]) -> int:
-    """M-05 on the stored tables; the number of conflicts."""
+def _repath(store: Store, moved: list[tuple[int, str]], files: DataFrame | None = None) -> int:
+    """M-05 on the stored tables, in one commit; the number of conflicts."""
     moves = store.spark.createDataFrame([(i, p, n) for n, (i, p) in enumerate(moved)], "id bigint, new_path string, seq bigint")
-    files = store.read("files")
-    judged = merge.path_updates(files, moves)
+    files = store.read("files") if files is None else files
+    judged = materialise(merge.path_updates(files, moves), "judged")
     out, left = merge.apply_path_updates(files, judged, {t: store.read(t) for t in ("duplicate_groups", "similar_groups", "action_log")})
-    stale = judged.where("outcome = 'conflict'").count()
-    replaced = judged.where("outcome = 'replaces'").count()
-    store.write("files", out)
-    if replaced:
-        for t, df in left.items():
-            store.write(t, df)
-    return stale
+    counts = {r["outcome"]: r["count"] for r in judged.groupBy("outcome").count().collect()}
+    store.write_all({"files": out} | (left if counts.get("replaces") else {}))
+    return counts.get("conflict", 0)
+
+
+def recover(store: Store) -> int:
+    """The file table as the log's last batch leaves it: files trashed or put in quarantine are removed, moved ones have
+    their new path. For a library whose driver died between the log and the file table; a second call changes nothing. The
+    number of log entries that were behind."""
+    log, files = store.read("action_log"), store.read("files")
+    last = log.agg(F.max("batch")).first()[0]
+    rows = reports.in_batch(log, last).join(files.select(F.col("id").alias("file_id"), "path", "removed"), "file_id") if last is not None else None
+    if rows is None:
+        return 0
+    gone = [r["file_id"] for r in rows.where("action IN ('trash', 'quarantine') AND NOT removed").select("file_id").toLocalIterator()]
+    moved = [(r["file_id"], r["to_path"]) for r in rows.where("action = 'move' AND path = from_path").orderBy("id").select("file_id", "to_path").toLocalIterator()]
+    if gone:
+        files = merge.set_flag(files, _ids(store, gone), "removed")
+    if moved:
+        _repath(store, moved, files)
+    elif gone:
+        store.write("files", files)
+    return len(gone) + len(moved)
 
 
 def apply_plan(store: Store, plan: DataFrame) -> tuple[int, int, int, int]:
@@ -100,11 +118,8 @@ def apply_plan(store: Store, plan: DataFrame) -> tuple[int, int, int, int]:
     counts = {"moved": 0, "skipped": 0, "failed": 0, "stale": 0}
 
     def journal() -> None:
-        if log:
-            counts["stale"] += _repath(store, moved)
-            store.record_actions(batch, log)
+        store.record_actions(batch, log)
         log.clear()
-        moved.clear()
 
     try:
         for row in plan.orderBy("file_id").toLocalIterator():
@@ -128,6 +143,8 @@ def apply_plan(store: Store, plan: DataFrame) -> tuple[int, int, int, int]:
                 journal()
     finally:
         journal()
+        if moved:
+            counts["stale"] = _repath(store, moved)
     return tuple(counts.values())
 
 
@@ -139,14 +156,6 @@ def undo_last(store: Store) -> int:
         return 0
     restored, paths, shown = 0, [], []
 
-    def journal() -> None:
-        if shown:
-            store.write("files", merge.set_flag(store.read("files"), _ids(store, shown), "removed", False))
-        if paths:
-            _repath(store, paths)
-        paths.clear()
-        shown.clear()
-
     try:
         for row in reports.undoable(reports.in_batch(log, batch)).orderBy(F.desc("id")).toLocalIterator():
             if not row["to_path"] or not os.path.lexists(row["to_path"]):
@@ -162,10 +171,14 @@ def undo_last(store: Store) -> int:
                 shown.append(row["file_id"])
             if row["action"] == "move" or back != row["from_path"]:
                 paths.append((row["file_id"], back))
-            if restored % FLUSH == 0:
-                journal()
-    finally:
-        journal()
+    finally:  # one commit each: files shown again and their paths
+        files = store.read("files")
+        if shown:
+            files = merge.set_flag(files, _ids(store, shown), "removed", False)
+        if paths:
+            _repath(store, paths, files)
+        elif shown:
+            store.write("files", files)
     store.write("action_log", merge.mark_undone(store.read("action_log"), batch))
     return restored
 

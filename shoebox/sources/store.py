@@ -1,8 +1,12 @@
-"""A library on disk (S-12, K-01 to K-07, K-12 to K-15): each table is a chain of Parquet snapshots and a pointer file that names
-the current one. A snapshot is written beside the others and becomes visible by one rename, so a broken write changes nothing (K-14)."""
+"""A library on disk (S-12, K-01 to K-07, K-12 to K-15): each table is a list of Parquet parts, and a numbered commit file names
+the parts of all tables. A commit is written beside the others and appears under its number by one rename; the highest
+number counts. So a broken write changes nothing, several tables change together (K-14), and an append adds a part instead of
+writing a table again (K-15). One writer at a time: a number that is taken refuses the commit."""
 
 from __future__ import annotations
 
+import json
+import re
 import time
 import uuid
 
@@ -20,57 +24,80 @@ class Store:
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
         self._fs = self._path(self.root).getFileSystem(self._conf)
 
-    def _pointer(self, table: str) -> str:
-        return f"{self.root}/{table}/CURRENT"
-
-    def current(self, table: str) -> str | None:
-        pointer = self._path(self._pointer(table))
-        if not self._fs.exists(pointer):
-            return None
-        stream = self._fs.open(pointer)
+    def _commits(self) -> list[int]:
+        folder = self._path(f"{self.root}/_commits")
+        if not self._fs.exists(folder):
+            return []
+        names = [status.getPath().getName() for status in self._fs.listStatus(folder)]
+        return sorted(int(n[:-5]) for n in names if re.fullmatch(r"\d+\.json", n))
+
+    def _state(self) -> tuple[int, dict[str, list[str]]]:
+        """The last commit's number and the parts of each table."""
+        known = self._commits()
+        if not known:
+            return 0, {}
+        stream = self._fs.open(self._path(f"{self.root}/_commits/{known[-1]:012d}.json"))
         try:
-            return bytes(stream.readAllBytes()).decode().strip()
+            return known[-1], json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
+    def current(self, table: str) -> list[str] | None:
+        return self._state()[1].get(table)
+
     def read(self, table: str) -> DataFrame:
-        """S-12: the current snapshot; an empty table where there is none. Columns of older snapshots are completed (M-07)."""
-        name = self.current(table)
-        if name is None:
+        """S-12: the table as of the last commit; empty where there is none. Columns of older parts are completed (M-07)."""
+        parts = self.current(table)
+        if not parts:
             return self.spark.createDataFrame([], TABLES[table])
-        return conform(self.spark.read.parquet(f"{self.root}/{table}/{name}"), TABLES[table])
+        frames = [conform(self.spark.read.parquet(f"{self.root}/{table}/{name}"), TABLES[table]) for name in parts[:1]]
+        if parts[1:]:  # appended parts have the schema of today
+            frames.append(self.spark.read.schema(TABLES[table]).parquet(*[f"{self.root}/{table}/{name}" for name in parts[1:]]))
+        return frames[0] if len(frames) == 1 else frames[0].unionByName(conform(frames[1], TABLES[table]))
 
-    def write(self, table: str, df: DataFrame) -> None:
-        """Replace a table; readers see the old snapshot or the new one."""
+    def _part(self, table: str, df: DataFrame) -> str:
         name = f"{int(time.time() * 1000):013d}-{uuid.uuid4().hex[:8]}"
         conform(df, TABLES[table]).write.parquet(f"{self.root}/{table}/{name}")
-        fresh = self._path(f"{self.root}/{table}/CURRENT.{name}")
+        return name
+
+    def _commit(self, number: int, state: dict[str, list[str]]) -> None:
+        fresh, final = (self._path(f"{self.root}/_commits/{n}") for n in (f".{uuid.uuid4().hex}", f"{number:012d}.json"))
         out = self._fs.create(fresh, True)
-        out.write(bytearray(name.encode()))
+        out.write(bytearray(json.dumps(state).encode()))
         out.close()
-        pointer = self._path(self._pointer(table))
-        if self._fs.exists(pointer):
-            self._fs.delete(pointer, False)
-        self._fs.rename(fresh, pointer)
-
-    def vacuum(self, table: str) -> None:
-        """Delete snapshots that aren't current."""
-        name = self.current(table)
-        for status in self._fs.listStatus(self._path(f"{self.root}/{table}")):
-            if status.isDirectory() and status.getPath().getName() != name:
-                self._fs.delete(status.getPath(), True)
+        if self._fs.exists(final) or not self._fs.rename(fresh, final):
+            raise RuntimeError(f"commit {number} of {self.root} is taken")
+
+    def write_all(self, frames: dict[str, DataFrame]) -> None:
+        """Replace tables together; readers see all of the old ones or all of the new ones."""
+        number, state = self._state()
+        self._commit(number + 1, state | {table: [self._part(table, df)] for table, df in frames.items()})
+
+    def write(self, table: str, df: DataFrame) -> None:
+        self.write_all({table: df})
+
+    def vacuum(self) -> None:
+        """Delete parts and commits that the last commit doesn't need."""
+        number, state = self._state()
+        for table in TABLES:
+            folder = self._path(f"{self.root}/{table}")
+            for status in self._fs.listStatus(folder) if self._fs.exists(folder) else []:
+                if status.getPath().getName() not in state.get(table, []):
+                    self._fs.delete(status.getPath(), True)
+        for old in self._commits():
+            if old < number:
+                self._fs.delete(self._path(f"{self.root}/_commits/{old:012d}.json"), False)
 
     def reset(self) -> None:
-        """K-12: empty every table."""
-        for table, schema in TABLES.items():
-            self.write(table, self.spark.createDataFrame([], schema))
+        """K-12: empty every table, together."""
+        self.write_all({table: self.spark.createDataFrame([], schema) for table, schema in TABLES.items()})
 
     def append(self, table: str, rows: list[tuple]) -> None:
-        """K-13, K-15: add a few rows, numbered after the last id; for ledgers and logs."""
-        old = self.read(table)
-        last = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        new = self.spark.createDataFrame([(last + 1 + i, *r) for i, r in enumerate(rows)], TABLES[table])
-        self.write(table, old.unionByName(new))
+        """K-13, K-15: add a few rows, numbered after the last id, as a part of their own; for ledgers and logs."""
+        last = self.read(table).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        new = self.spark.createDataFrame([(last + 1 + i, *r) for i, r in enumerate(rows)], TABLES[table]).coalesce(1)
+        number, state = self._state()
+        self._commit(number + 1, state | {table: [*state.get(table, []), self._part(table, new)]})
 
     def start_session(self, root_path: str) -> int:
         self.append("scan_sessions", [(root_path, time.time(), None, None, 0, "running")])

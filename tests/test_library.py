@@ -165,3 +165,41 @@ def test_exif_far_into_a_file(spark, tmp_path):
     got = {r.id: tuple(r.e) for r in spark.createDataFrame(paths, "id int, path string").select("id", exif(F.col("path")).alias("e")).collect()}
     assert got[1] == got[2] == ("Cam", None, "2023:04:12 10:00:00", 6)
     assert got[3] == got[4] == (None, None, None, None)
+
+
+def test_store_commits_are_whole(spark, tmp_path):
+    """A commit that doesn't get its name changes nothing; appends add parts; tables change together."""
+    store = Store(spark, str(tmp_path / "store"))
+    assert store.read("files").count() == 0
+    store.write("files", spark.createDataFrame([(1, "/a")], "id long, path string"))
+    for batch in (1, 2, 3):
+        store.record_actions(batch, [(1, "move", "/a", f"/b{batch}")])
+    assert len(store.current("action_log")) == 3 and [r.id for r in store.read("action_log").orderBy("id").collect()] == [1, 2, 3]
+    before = store._state()
+    taken = before[0] + 1
+    (tmp_path / "store" / "_commits" / f"{taken:012d}.tmp").write_text("a writer that died")
+    store._part("files", spark.createDataFrame([(9, "/never")], "id long, path string"))
+    assert store._state() == before and [r.path for r in store.read("files").collect()] == ["/a"]
+    with pytest.raises(RuntimeError):
+        store._commit(before[0], {})
+    store.reset()
+    assert store.read("files").count() == 0 and store.read("action_log").count() == 0
+    store.vacuum()
+    assert len(store._commits()) == 1 and store.read("files").count() == 0
+
+
+def test_recover_brings_files_up_to_the_log(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    store.write("files", spark.createDataFrame([(1, "/a"), (2, "/b"), (3, "/c")], "id long, path string"))
+    store.record_actions(1, [(1, "move", "/a", "/d/a"), (2, "move", "/b", "/a")])
+    assert actions.recover(store) == 2 and actions.recover(store) == 0
+    assert {r.id: r.path for r in store.read("files").collect()} == {1: "/d/a", 2: "/a", 3: "/c"}
+    store.record_actions(2, [(3, "trash", "/c", None)])
+    assert actions.recover(store) == 1 and {r.id for r in store.read("files").where("removed").collect()} == {3}
+
+
+def test_face_detector_runs_on_executors(spark):
+    image = noise(5, 8, 8)
+    df = spark.createDataFrame([(1, 8, 8, 3, bytearray(image.tobytes()))], "file_id long, height int, width int, nChannels int, data binary")
+    row = features.analysis_quality(df, lambda gray: (True, 0.5)).first()
+    assert row.has_face is True and row.eyes_open == 0.5 and features.analysis_quality(df).first().has_face is False

@@ -224,3 +224,68 @@ def test_config(tmp_path):
     c = Config.load(f)
     assert (c.hamming_threshold, c.blur_laplacian_threshold, c.screenshot_resolutions) == (7, 80.0, ((1, 2),))
     assert Config.load(tmp_path / "none") == Config() == Config.from_dict(Config().to_dict())
+
+
+def test_path_updates_equal_row_by_row(spark):
+    """Chains of moves in all orders, dead holders and contested paths, against one move after the other."""
+    import random
+
+    rnd = random.Random(21)
+    for _ in range(6):
+        n = 24
+        rows = [(i, f"/p/{i}", rnd.random() < 0.2) for i in range(n)]
+        movers = rnd.sample(range(n), 16)
+        moves = [(i, f"/p/{rnd.choice([rnd.randrange(n), (i + 1) % n, 100 + rnd.randrange(4)])}", seq) for seq, i in enumerate(movers)]
+        where, dead, want = {p: i for i, p, _ in rows}, {i for i, _, gone in rows if gone}, {}
+        for i, to, _ in moves:
+            holder = where.get(to)
+            if holder is not None and holder != i and holder not in dead:
+                want[i] = "conflict"
+                continue
+            want[i] = "moved" if holder is None or holder == i else "replaces"
+            old = next((p for p, h in where.items() if h == i), None)
+            if old is not None:
+                del where[old]
+            where[to] = i
+        files = frame(spark, [(i, p, False, gone) for i, p, gone in rows], "id long, path string, missing boolean, removed boolean")
+        live = [m for m in moves if m[0] not in {i for i, _, gone in rows if gone}]
+        if len(live) < len(moves):  # a removed file doesn't move: judge the live ones alone
+            where, want = {p: i for i, p, _ in rows}, {}
+            for i, to, _ in live:
+                holder = where.get(to)
+                if holder is not None and holder != i and holder not in dead:
+                    want[i] = "conflict"
+                    continue
+                want[i] = "moved" if holder is None or holder == i else "replaces"
+                where = {p: h for p, h in where.items() if h != i} | {to: i}
+        got = {r.id: r.outcome for r in merge.path_updates(files, frame(spark, live, "id long, new_path string, seq long")).collect()}
+        assert got == want
+
+
+def test_hamming_pairs_at_all_thresholds(spark):
+    import random
+
+    rnd = random.Random(22)
+    base = [rnd.getrandbits(64) for _ in range(6)]
+    values = [b ^ sum(1 << k for k in rnd.sample(range(64), rnd.randint(0, 9))) for b in base for _ in range(12)]
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    df = frame(spark, list(enumerate(signed)), "id long, h long")
+    for threshold in (0, 1, 2, 5, 9, 18):
+        want = sorted((a, b, (values[a] ^ values[b]).bit_count()) for a in range(len(values)) for b in range(a + 1, len(values)) if (values[a] ^ values[b]).bit_count() <= threshold)
+        assert sorted((r.a, r.b, r.distance) for r in similarity.hamming_pairs(df, threshold).collect()) == want
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    import types
+
+    from shoebox.operators.scratch import checkpoint_root
+
+    nothing = types.SimpleNamespace(get=lambda *a: None)
+    for master, fails in (("spark://host:7077", True), ("local-cluster[2,1,512]", True), ("local[2]", False)):
+        context = types.SimpleNamespace(master=master, getConf=lambda: nothing)
+        session = types.SimpleNamespace(conf=nothing, sparkContext=context)
+        if fails:
+            with pytest.raises(RuntimeError):
+                checkpoint_root(session)
+        else:
+            assert checkpoint_root(session)
