@@ -11,23 +11,24 @@ from ..functions.signature import band_key, band_layout, hamming
 from .graph import connected_components
 from .scratch import materialise
 
+ROW_COST = 2
 
-def hamming_pairs(entries: DataFrame, threshold: int, bits: int = 64) -> DataFrame:
+
+def hamming_pairs(entries: DataFrame, threshold: int, bits: int = 64, near: int = 0) -> DataFrame:
     """J-05: (a, b, distance) of entries (id, h) at most `threshold` bits apart, a < b, each pair once.
 
-    With threshold // 2 + 1 bands two such signatures differ by one bit or none in one band at least. So one side offers its
-    key of each band and the other asks for that key and for all keys one bit away: an equi-join by (band, key) that misses nothing, over
-    half as many bands, so keys are twice as wide and candidates far fewer. A pair is kept only in its first such band: no distinct,
-    no second shuffle. Where many entries share a signature, :func:`similar_edges` ties them together first and joins only
+    With threshold // (near + 1) + 1 bands two such signatures differ by at most `near` bits in one band at least. So one side offers its
+    key of each band and the other asks for that key and, where near is 1, for all keys one bit away: an equi-join by (band, key) that
+    misses nothing. near = 0 sends threshold + 1 rows for an entry, near = 1 about `bits`, but its keys are twice as wide and
+    candidates far fewer. A pair is kept only in its first such band: no distinct, no second shuffle. Where many entries share a signature, :func:`similar_edges` ties them together first and joins only
     different signatures.
     """
     if threshold < 0:
         return entries.where("false").select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance"))
-    near = 1 if threshold > 1 else 0  # bits by which keys may differ
     layout = band_layout(bits, threshold // (near + 1) + 1)
     keys = [band_key(F.col("h"), s, w) for s, w in layout]
     own = F.array(*[F.struct(F.lit(i).alias("band"), k.alias("key")) for i, k in enumerate(keys)])
-    flips = [[0] + [1 << b for b in range(w)] * near for _, w in layout]
+    flips = [[0] + [1 << b if b < 63 else -1 << 63 for b in range(w)] * near for _, w in layout]
     asked = F.array(*[F.struct(F.lit(i).alias("band"), k.bitwiseXOR(F.lit(f).cast("bigint")).alias("key")) for i, k in enumerate(keys) for f in flips[i]])
     left = entries.select(F.col("id").alias("a"), F.col("h").alias("ha"), F.inline(asked))
     right = entries.select(F.col("id").alias("b"), F.col("h").alias("hb"), F.inline(own))
@@ -40,6 +41,14 @@ def hamming_pairs(entries: DataFrame, threshold: int, bits: int = 64) -> DataFra
     return joined.select("a", "b", distance.alias("distance"))
 
 
+def cheaper_near(entries: int, threshold: int, bits: int = 64) -> int:
+    """Which `near` of :func:`hamming_pairs` costs less: random keys make candidates for each entry, and a row that is
+    shuffled and sorted costs about as much as ROW_COST candidates."""
+    cost = lambda bands, asked: entries * bands * asked / 2 ** (bits / bands) + ROW_COST * (asked + 1) * bands
+    wide = threshold // 2 + 1
+    return 1 if threshold > 1 and cost(wide, 1 + bits / wide) < cost(threshold + 1, 1) else 0
+
+
 def similar_edges(entries: DataFrame, threshold: int, bits: int = 64) -> DataFrame:
     """Edges (src, dst) that connect what J-05 connects: equal signatures are tied to their smallest id, and only
     different signatures are joined."""
@@ -47,33 +56,40 @@ def similar_edges(entries: DataFrame, threshold: int, bits: int = 64) -> DataFra
     star = entries.join(firsts, "h").where("id <> first").select(F.col("first").alias("src"), F.col("id").alias("dst"))
     if threshold < 0:
         return star.where("false")
-    pairs = hamming_pairs(firsts.select(F.col("first").alias("id"), "h"), threshold, bits)
+    pairs = hamming_pairs(firsts.select(F.col("first").alias("id"), "h"), threshold, bits, cheaper_near(firsts.count(), threshold, bits))
     return star.unionByName(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
 def ranked(entries: DataFrame, *order: str) -> DataFrame:
-    """entries with `rn`, their place (from 0) in the order given, by ranges: no task sorts everything."""
+    """entries with `rn`, their place (from 0) in the order given, and `_range`, by ranges: no task sorts everything."""
     spark = entries.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = materialise(entries.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranked")
     local = table.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
     counts = table.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return local.join(F.broadcast(before), "_part").withColumn("rn", F.col("_rank") + F.col("_before")).drop("_part", "_rank", "_before")
+    return local.join(F.broadcast(before), "_part").withColumn("rn", F.col("_rank") + F.col("_before")).withColumnRenamed("_part", "_range").drop("_rank", "_before")
 
 
 def burst_pairs(entries: DataFrame, seconds: float, threshold: int, window: int) -> DataFrame:
     """J-06: (a, b, distance) of entries (id, h, dt) close in time and signature: b follows a in the order of (dt, id) by at
     most `window` places and `seconds`, and their signatures differ in at most `threshold` bits.
 
-    Joined by rank buckets of `window` places, so an anchor meets at most twice as many rows however many share one moment.
+    Joined by buckets of `window` places and of twice `seconds`, so an anchor meets at most 2 * window rows however many share one
+    moment, and few where moments are far apart.
     """
-    rows = ranked(entries.where("dt IS NOT NULL"), "dt", "id").withColumn("bucket", F.floor(F.col("rn") / window))
-    anchors = rows.select(F.col("id").alias("a"), F.col("h").alias("ha"), F.col("dt").alias("ta"), F.col("rn").alias("ra"), F.explode(F.array("bucket", F.col("bucket") + 1)).alias("bucket"))
-    others = rows.select(F.col("id").alias("b"), F.col("h").alias("hb"), F.col("dt").alias("tb"), F.col("rn").alias("rb"), "bucket")
+    places = ranked(entries.where("dt IS NOT NULL"), "dt", "id")
+    # rows with nothing close in time on either side have no pair; at the edges of a range that isn't known here
+    order = Window.partitionBy("_range").orderBy("rn")
+    close = lambda other: F.coalesce(F.abs(other.over(order) - F.col("dt")) <= seconds, F.lit(True))
+    rows = places.withColumn("_close", close(F.lag("dt")) | close(F.lead("dt"))).where("_close").withColumn("bucket", F.floor(F.col("rn") / window))
+    rows = rows.withColumn("moment", F.floor(F.col("dt") / (2 * seconds)) if seconds > 0 else F.lit(0))  # twice: safe from rounding
+    both = F.explode(F.array(*[F.struct((F.col("bucket") + i).alias("bucket"), (F.col("moment") + j).alias("moment")) for i in (0, 1) for j in ((0, 1) if seconds > 0 else (0,))]))
+    anchors = rows.select(F.col("id").alias("a"), F.col("h").alias("ha"), F.col("dt").alias("ta"), F.col("rn").alias("ra"), both.alias("_key")).select("a", "ha", "ta", "ra", "_key.*")
+    others = rows.select(F.col("id").alias("b"), F.col("h").alias("hb"), F.col("dt").alias("tb"), F.col("rn").alias("rb"), "bucket", "moment")
     distance = hamming(F.col("ha"), F.col("hb"))
     near = (F.col("rb") - F.col("ra")).between(1, window) & (F.col("tb") - F.col("ta") <= seconds) & (distance <= threshold)
-    return anchors.join(others, "bucket").where(near).select("a", "b", distance.alias("distance"))
+    return anchors.join(others, ["bucket", "moment"]).where(near).select("a", "b", distance.alias("distance"))
 
 
 def cluster_similar(files: DataFrame, cfg: Config | None = None) -> DataFrame:

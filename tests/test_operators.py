@@ -272,7 +272,9 @@ def test_hamming_pairs_at_all_thresholds(spark):
     df = frame(spark, list(enumerate(signed)), "id long, h long")
     for threshold in (0, 1, 2, 5, 9, 18):
         want = sorted((a, b, (values[a] ^ values[b]).bit_count()) for a in range(len(values)) for b in range(a + 1, len(values)) if (values[a] ^ values[b]).bit_count() <= threshold)
-        assert sorted((r.a, r.b, r.distance) for r in similarity.hamming_pairs(df, threshold).collect()) == want
+        for near in (0, 1):
+            assert sorted((r.a, r.b, r.distance) for r in similarity.hamming_pairs(df, threshold, near=near).collect()) == want
+    assert similarity.cheaper_near(1000, 5) == 0 and similarity.cheaper_near(10_000_000, 5) == 1
 
 
 def test_scratch_needs_a_shared_folder_on_a_cluster():
