@@ -8,6 +8,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from . import places
 from .config import Config
 from .operators import organize, reports
 from .plans import actions, library
@@ -33,13 +34,13 @@ def _scan(args, store) -> int:
 def _dedup(args, store) -> int:
     from .operators.dedup import redundant
 
-    row = redundant(library.find_duplicates(store, not args.no_prefilter)).first()
+    row = redundant(library.find_duplicates(store, not args.no_prefilter, args.workers)).first()
     print(f"groups {row['groups']:,} · redundant files {row['redundant']:,}")
     return 0
 
 
 def _analyze(args, store) -> int:
-    ok, errors = library.analyze(store, args.thumb_dir, Config.load(args.config))
+    ok, errors = library.analyze(store, args.thumb_dir, Config.load(args.config), workers=args.workers)
     print(f"ok {ok:,} · errors {errors:,}")
     for r in reports.category_counts(store.read("files")).toLocalIterator():
         print(f"  {r['category']} {r['n']:,}")
@@ -60,12 +61,41 @@ def _bestshot(args, store) -> int:
     return 0
 
 
+# For each report its title, the head of a group, the marks of a kept and of another item.
+TITLES = {"dup": "완전중복", "similar": "유사그룹", "actions": "작업 이력"}
+HEADS = {"dup": "중복", "similar": "유사"}
+MARKS = {"dup": ("★ 대표", "  중복"), "similar": ("⭐ 베스트", "        ")}
+
+
+def _line(name: str, r) -> str:
+    if name == "dup":
+        return f"{MARKS[name][not r['is_representative']]}  {r['path']}"
+    if name == "similar":
+        kind = f" [{r['category']}]" if r["category"] else ""
+        return f"{MARKS[name][not r['is_best_shot']]} 유사도 {r['similarity_score']:.3f}{kind}  {os.path.basename(r['path'])}" + (f"  ({r['reason']})" if r["reason"] else "")
+    return f"{r['timestamp']}  {r['action']}  #{r['batch']}{' ' + r['undone'] if r['undone'] else ''}  {r['from_path']}" + (f" → {r['to_path']}" if r["to_path"] else "")
+
+
+def _show(name: str, rows) -> None:
+    """K-16: groups under heads of their own, then how many there were. Rows come in the report's order, one partition at a time."""
+    group, groups, n = None, 0, 0
+    for r in rows.toLocalIterator():
+        if name in HEADS and r["group_id"] != group:
+            group, groups = r["group_id"], groups + 1
+            print(f"\n[{HEADS[name]} {group}]" + (f" size={r['size']:,}  hash={r['content_hash'][:12]}…" if name == "dup" else ""))
+        print("  " + _line(name, r))
+        n += 1
+    print(f"{TITLES[name]}: {groups:,} groups, {n:,} rows" if name in HEADS else f"{TITLES[name]}: {n:,} rows")
+
+
 def _report(args, store) -> int:
     tables = {
         "dup": lambda: reports.duplicate_report(store.read("duplicate_groups"), store.read("files")),
         "similar": lambda: reports.similar_report(store.read("similar_groups"), store.read("files")),
         "actions": lambda: reports.action_report(store.read("action_log")),
     }
+    if not (args.csv or args.json):  # the reasons are for reading, not for the files
+        tables["similar"] = lambda: reports.similar_listing(store.read("similar_groups"), store.read("files"))
     path, kind = (args.csv, "csv") if args.csv else (args.json, "json")
     if path:
         if args.kind == "all":
@@ -74,9 +104,7 @@ def _report(args, store) -> int:
         print(f"{export(tables[args.kind](), path, kind):,} rows to {path}")
         return 0
     for name in tables if args.kind == "all" else [args.kind]:
-        print(f"[{name}]")
-        for row in tables[name]().toLocalIterator():
-            print("  " + " | ".join("" if v is None else str(v) for v in row))
+        _show(name, tables[name]())
     print(f"files {reports.count_active(store.read('files')).first()['n']:,}")
     return 0
 
@@ -103,7 +131,7 @@ def _organize(args, store) -> int:
 
 def build_parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="shoebox")
-    p.add_argument("--store", default="shoebox-library", help="folder of the library's tables")
+    p.add_argument("--store", default=places.store_dir(), help="folder of the library's tables")
     sub = p.add_subparsers(dest="command", required=True)
 
     def command(name, run, *options):
@@ -112,10 +140,10 @@ def build_parser() -> argparse.ArgumentParser:
         for names, kw in options:
             c.add_argument(*names, **kw)
 
-    config = (("--config",), {})
+    config, workers = (("--config",), {}), (("--workers",), {"type": int, "help": "tasks that read files; as many as Spark makes if not given"})
     command("scan", _scan, (("path",), {}), (("--detect-deletions",), {"action": "store_true"}))
-    command("dedup", _dedup, (("--no-prefilter",), {"action": "store_true"}))
-    command("analyze", _analyze, (("--thumb-dir",), {"default": "thumbnails"}), config)
+    command("dedup", _dedup, workers, (("--no-prefilter",), {"action": "store_true"}))
+    command("analyze", _analyze, workers, (("--thumb-dir",), {"default": places.thumb_dir()}), config)
     command("similar", _similar, (("--threshold",), {"type": int}), config)
     command("bestshot", _bestshot, (("--preset",), {"choices": ["person", "landscape"]}), config)
     command("report", _report, (("--kind",), {"choices": ["dup", "similar", "actions", "all"], "default": "all"}), (("--csv",), {}), (("--json",), {}))

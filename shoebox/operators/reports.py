@@ -104,6 +104,12 @@ def similar_report(groups: DataFrame, files: DataFrame) -> DataFrame:
     return similar_rows(groups, files).select("group_id", _flag("is_best_shot", BEST), "quality_score", "similarity_score", F.coalesce("category", F.lit("")).alias("category"), "path")
 
 
+def similar_listing(groups: DataFrame, files: DataFrame) -> DataFrame:
+    """K-16: the report of similar groups with the reason of each score."""
+    rows = similar_rows(groups, files)
+    return rows.select("group_id", _flag("is_best_shot", BEST), "similarity_score", F.coalesce("category", F.lit("")).alias("category"), "path", F.coalesce(reason_of(F.col("quality_detail")), F.lit("")).alias("reason"))
+
+
 def action_label(action: Column) -> Column:
     """F-23."""
     out = action

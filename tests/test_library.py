@@ -101,6 +101,56 @@ def test_commands(spark, tree, tmp_path, capsys):
     assert cli.main([*at, "organize", "--dest", str(tmp_path / "o")], spark) == 0 and "unknown" in capsys.readouterr().out
 
 
+def test_report_has_heads_and_totals(run, capsys):
+    home = run[0]
+    assert cli.main(["--store", str(home / "store"), "report", "--kind", "all"], run[2].spark) == 0
+    out = capsys.readouterr().out
+    assert "[중복 1] size=" in out and out.count("★ 대표") == 1 and "완전중복: 1 groups, 2 rows" in out
+    assert "[유사 1]" in out and out.count("⭐ 베스트") == 1 and "유사도 " in out and "유사그룹: 1 groups" in out and "작업 이력: " in out
+
+
+def test_run_reports_its_failure(spark, tmp_path):
+    heard = []
+    store = Store(spark, str(tmp_path / "s"))
+    (tmp_path / "file").write_text("x")
+    broken = library.LibraryRun(store, str(tmp_path), str(tmp_path / "file" / "thumbs"), progress=lambda stage: 1 / 0, failed=heard.append)
+    assert broken.run() is None and heard == ["division by zero"]
+    broken.failed = None
+    with pytest.raises(ZeroDivisionError):
+        broken.run()
+
+
+def test_default_folders():
+    from shoebox import places
+
+    assert places.data_dir("win32", {"APPDATA": "/r"}, "/h") == "/r/shoebox" and places.data_dir("win32", {}, "/h") == "/h/shoebox"
+    assert places.data_dir("darwin", {}, "/h") == "/h/Library/Application Support/shoebox"
+    assert places.data_dir("linux", {"XDG_DATA_HOME": "/x"}, "/h") == "/x/shoebox" and places.data_dir("linux", {}, "/h") == "/h/.local/share/shoebox"
+
+
+def test_decoders_run_on_executors(spark, tmp_path):
+    """A plug-in reads its own formats; what it refuses or breaks on has no pixels, and other files go to the image source."""
+    from shoebox.sources.images import exif_summary, load_images
+
+    image = noise(7, 4, 6)
+    for name in ("a.heic", "b.nef", "_c.png", "d.heic"):
+        (tmp_path / name).write_bytes(png(image) if name.endswith("png") else name.encode())
+
+    def decode(path):
+        if path.endswith("d.heic"):
+            raise ValueError("broken")
+        return (4, 6, image.tobytes()) if path.endswith(".heic") else None
+
+    files = spark.createDataFrame([(i, str(tmp_path / n)) for i, n in ((1, "a.heic"), (2, "b.nef"), (5000, "_c.png"), (4, "d.heic"), (6, "none.heif"))], "id long, path string")
+    decoders = {".heic": decode, ".nef": decode}
+    got = {r.file_id: r for r in load_images(spark, files, decoders).collect()}
+    assert set(got) == {1, 2, 4, 5000, 6} and got[1].data == got[5000].data and got[2].make == "RAW"
+    assert all(got[i].data is None for i in (2, 4, 6))
+    assert (features.pixels(4, 6, 3, bytes(got[1].data)) == image).all()
+    assert {r.file_id: r.width for r in exif_summary(spark, files, decoders).collect()} == {1: 6, 2: None, 4: None, 5000: 6, 6: None}
+    assert load_images(spark, files.where("id IN (1, 4)")).where("data IS NULL").count() == 2
+
+
 def test_kernels():
     flat, sharp = np.full((200, 200), 180, np.uint8), features.to_gray(noise(3, 200, 200))
     assert features.laplacian_variance(flat) == 0 < 100 < features.laplacian_variance(sharp)
