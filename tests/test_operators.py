@@ -73,6 +73,14 @@ def test_components_of_a_long_chain_and_loops(spark):
     assert graph.connected_components(frame(spark, [], "src long, dst long")).count() == 0
 
 
+def test_a_star_settles_in_one_round(spark, monkeypatch):
+    written = []
+    real = graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, name: written.append(name) or real(df, name))
+    star = spark.range(1, 500).selectExpr("0L AS src", "id AS dst")
+    assert {r.component for r in graph.connected_components(star).collect()} == {0} and written.count("cc-step") == 1
+
+
 def duplicates(spark, rows, prefilter=True):
     df = frame(spark, [(i, p, len(b), b) for i, (p, b) in enumerate(rows)], "id long, path string, size long, content binary")
     found = dedup.find_duplicates(df, F.sha2(F.substring("content", 1, 4), 256), F.sha2("content", 256), prefilter)
