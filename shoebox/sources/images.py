@@ -38,7 +38,10 @@ def stage_links(files: DataFrame) -> str:
     """A folder of links `{id}{extension}` to the files, made by the executors in the shared scratch folder: the image source skips
     hidden names and returns encoded paths, neither of which matters to these. It goes when the driver ends."""
     spark = files.sparkSession
-    folder = f"{urlparse(checkpoint_root(spark)).path}/links-{uuid.uuid4().hex}"
+    root = urlparse(checkpoint_root(spark))
+    if root.scheme not in ("", "file"):
+        raise RuntimeError("links to images need spark.checkpoint.dir on a mounted file system")
+    folder = f"{root.path}/links-{uuid.uuid4().hex}"
     os.makedirs(folder)
     target = spark._jvm.org.apache.hadoop.fs.Path(f"file://{folder}")
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
