@@ -39,6 +39,20 @@ def test_toxicity_tolerates_gaps_and_insertions():
     assert all(score(t) < 0.5 for t in ("", "...", "the house", "hold on"))
 
 
+def test_toxicity_windows_hold_every_stretch():
+    """Up to 16 letters of a long run lie whole in some window, at every offset, glued or written apart."""
+    letters = "".join(chr(97 + i * i * 7 % 23) for i in range(130))
+    for n in range(25, 130):
+        found = toxicity.units(letters[:n])
+        assert all(any(letters[a : a + 16] in u for u in found) for a in range(n - 15)) and all(len(u) <= toxicity.WINDOW for u in found)
+        apart = {u for c in toxicity.chunks_of(" ".join(letters[:n])) for u in toxicity.units(c)}
+        assert set(found) <= apart
+    filler = "nahotirelasinohatuleranishodate" * 3
+    model = toxicity.train([["nahotire", "lasino", "stupid"]] * 40, [["nahotire", "lasino", "hatuleran", "ishodate"]] * 40)
+    margins = [max(model.words(toxicity.units(filler[:a] + "stxupxid" + filler[a:]))) for a in range(60)]
+    assert min(margins) > max(model.words(toxicity.units(filler)))
+
+
 def test_toxicity_odd_rows(odd, odd_rows, none, spark):
     none_labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.fit(odd, none_labels) is None
