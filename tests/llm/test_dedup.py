@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shoebox.llm import exact_dedup, ngram_join, suffix_dedup
 from shoebox.llm._shingles import shingle_sets
@@ -236,3 +237,22 @@ def test_empty_tables(none):
     assert exact_dedup.exact_dedup(none).count() == 0
     assert ngram_join.jaccard_components(none).count() == 0
     assert suffix_dedup.remove_repeats(none).count() == 0
+
+
+def test_ngram_join_shuffles_texts_of_clusters_only(spark, monkeypatch):
+    """A sieve loses no wanted row, and texts that nothing is like never reach the join that deals them out."""
+    rows = spark.range(20000).withColumn("row", F.xxhash64("id"))
+    wanted = rows.where("id % 7 = 0").select("row")
+    kept = {r.id for r in ngram_join.sieved(rows, wanted).collect()}
+    assert kept >= set(range(0, 20000, 7)) and len(kept) < 1.05 * 20000 / 7
+    assert ngram_join.sieved(rows, wanted.where("false")).count() == 0
+    passed, plain = [], ngram_join.sieved
+
+    def counted(rows, wanted):
+        passed.append(plain(rows, wanted).count())
+        return plain(rows, wanted)
+
+    monkeypatch.setattr(ngram_join, "sieved", counted)
+    docs = [(i, " ".join(f"w{i}x{k}" for k in range(30))) for i in range(300)] + [(300, " ".join(f"w7x{k}" for k in range(30)) + " more")]
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: i for i in range(300)} | {300: 7} and sum(passed) < 10
