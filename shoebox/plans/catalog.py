@@ -246,7 +246,8 @@ GRID = "g AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(floo
 
 def _grid(spark, sf_dir, channels):
     """Images of 8 x 8 pixels, one for each embedding: grey, or blue, green and red from one value."""
-    value = F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 2000).cast("bigint") % 256)
+    # the product keeps the type of the values, as in SQL: a float that is nearly whole may round up to it
+    value = F.transform("embedding", lambda x: F.floor(F.abs(x) * F.lit(2000).cast("float")).cast("bigint") % 256)
     of = lambda x: F.concat(*[F.lpad(F.hex(x * k % 256), 2, "0") for k in channels])
     data = F.unhex(F.array_join(F.transform(value, of), ""))
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("file_id"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(len(channels)).alias("nChannels"), data.alias("data"), F.lit(None).cast("int").alias("orientation"))
