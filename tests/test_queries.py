@@ -47,7 +47,7 @@ def test_hamming_hex_compares_all_bits(spark):
     assert whole.keys() == short.keys() and any(whole[k] > short[k] for k in whole) and all(whole[k] >= short[k] for k in whole)
 
 
-NEARLY_WHOLE = ["pixel_analysis", "pixel_grey"]
+NEARLY_WHOLE = ["pixel_analysis", "pixel_grey", "pixel_quality"]
 
 
 @pytest.mark.parametrize("name", NEARLY_WHOLE)
