@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +14,9 @@ from .graph import connected_components
 from .scratch import materialise
 
 ROW_COST = 2
+BLOCK = 1 << 16  # signatures that a task compares with each other, or with another block
+STEP = 32  # signatures compared with a whole block at once
+DENSE_SHARE = 1 / 40  # a joined candidate costs about 20 times a pair that is compared in a block
 
 
 def hamming_pairs(entries: DataFrame, threshold: int, bits: int = 64, near: int = 0) -> DataFrame:
@@ -49,13 +54,104 @@ def cheaper_near(entries: int, threshold: int, bits: int = 64) -> int:
     return 1 if threshold > 1 and cost(wide, 1 + bits / wide) < cost(threshold + 1, 1) else 0
 
 
+def banding_helps(threshold: int, bits: int = 64) -> bool:
+    """Whether the better of the two bandings makes candidates of few enough of all pairs."""
+    share = lambda bands, asked: bands * asked / 2 ** (bits / bands)
+    wide = threshold // 2 + 1
+    return min(share(wide, 1 + bits / wide), share(threshold + 1, 1)) <= DENSE_SHARE
+
+
+def _near(x: np.ndarray, y: np.ndarray, threshold: int) -> np.ndarray:
+    return np.bitwise_count((x[:, None] ^ y[None, :]).view(np.uint64)) <= threshold
+
+
+def _columns(batch, *names: str):
+    return zip(*([np.asarray(row.values) for row in batch.column(n)] for n in names))
+
+
+def _edge_batches(src: list, dst: list):
+    if src:
+        yield pa.record_batch([pa.array(np.concatenate(src), pa.int64()), pa.array(np.concatenate(dst), pa.int64())], names=["src", "dst"])
+
+
+def _forests(batches, threshold: int):
+    """Rows (ids, hs), one for each block, to edges that connect what is connected in the block. A signature is compared only with
+    those that no component has yet, so a block of one large component takes far fewer comparisons than it has pairs."""
+    for batch in batches:
+        for ids, hs in _columns(batch, "ids", "hs"):
+            src, dst, rest = [], [], np.arange(len(ids))
+            while len(rest):
+                waiting, rest = rest[:1], rest[1:]
+                while len(waiting) and len(rest):
+                    now, waiting = waiting[:STEP], waiting[STEP:]
+                    near = _near(hs[now], hs[rest], threshold)
+                    hit = near.any(axis=0)
+                    if hit.any():
+                        src.append(ids[now[near[:, hit].argmax(axis=0)]])
+                        dst.append(ids[rest[hit]])
+                        waiting, rest = np.concatenate([waiting, rest[hit]]), rest[~hit]
+            yield from _edge_batches(src, dst)
+
+
+def _bridges(batches, threshold: int):
+    """Rows of two blocks (ids, hs, labels; ids2, hs2, labels2) to one edge for each pair of labels that near signatures tie."""
+    for batch in batches:
+        for ids, hs, of, ids2, hs2, of2 in _columns(batch, "ids", "hs", "labels", "ids2", "hs2", "labels2"):
+            src, dst = [], []
+            for at in range(0, len(ids), STEP):
+                x, y = np.nonzero(_near(hs[at : at + STEP], hs2, threshold) & (of[at : at + STEP, None] != of2[None, :]))
+                if len(x):
+                    _, first = np.unique(np.stack([of[at + x], of2[y]]), axis=1, return_index=True)
+                    src.append(ids[at + x[first]])
+                    dst.append(ids2[y[first]])
+            yield from _edge_batches(src, dst)
+
+
+def dense_edges(entries: DataFrame, threshold: int, block: int = BLOCK) -> DataFrame:
+    """Edges (src, dst) that connect what J-05 connects, for thresholds at which bands miss hardly any pair. Entries (id, h) differ in h.
+
+    Entries are dealt into blocks twice, by different hashes, and each block is connected by itself. Where many pairs are near, that ties
+    almost all entries into one component. Only what lies outside the largest component is then compared with everything, block by
+    block: two entries inside need no edge of their own. With no large component that is every pair, so nothing is missed.
+    """
+    rows = entries.where("id IS NOT NULL AND h IS NOT NULL").select("id", "h")
+    n = rows.count()
+    edge = "src long, dst long"
+
+    def dealt(turn: int) -> DataFrame:
+        of = rows.groupBy(F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(n // block + 1)).alias("block")).agg(F.collect_list("id").alias("ids"), F.collect_list("h").alias("hs"))
+        return of.select("ids", "hs").mapInArrow(lambda b: _forests(b, threshold), edge)
+
+    if n <= block:
+        return dealt(0)
+    found = materialise(dealt(0).unionByName(dealt(1)), "dense-forests")
+    labelled = rows.join(connected_components(found), "id", "left").select("id", "h", F.coalesce("component", "id").alias("label"))
+    labelled = materialise(labelled, "dense-labels")
+    largest = labelled.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").first()["label"]
+    outside = F.col("label") != largest
+    n_out = labelled.where(outside).count()
+    if not n_out:
+        return found
+    # blocks of one side are numbered from 0, those of the other behind them
+    out_blocks = n_out // block + 1
+    place = F.when(outside, F.pmod(F.xxhash64("id"), F.lit(out_blocks))).otherwise(out_blocks + F.pmod(F.xxhash64("id"), F.lit((n - n_out) // block + 1)))
+    blocks = labelled.groupBy(place.alias("block")).agg(F.collect_list("id").alias("ids"), F.collect_list("h").alias("hs"), F.collect_list("label").alias("labels"))
+    blocks = materialise(blocks, "dense-blocks")
+    other = blocks.select(F.col("block").alias("block2"), F.col("ids").alias("ids2"), F.col("hs").alias("hs2"), F.col("labels").alias("labels2"))
+    pairs = blocks.where(F.col("block") < out_blocks).join(other, F.col("block") <= F.col("block2"))
+    pairs = pairs.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block", "block2").select("ids", "hs", "labels", "ids2", "hs2", "labels2")
+    return found.unionByName(pairs.mapInArrow(lambda b: _bridges(b, threshold), edge))
+
+
 def similar_edges(entries: DataFrame, threshold: int, bits: int = 64) -> DataFrame:
     """Edges (src, dst) that connect what J-05 connects: equal signatures are tied to their smallest id, and only
-    different signatures are joined."""
+    different signatures are joined, by bands where these help."""
     firsts = materialise(entries.groupBy("h").agg(F.min("id").alias("first")), "signatures")
     star = entries.join(firsts, "h").where("id <> first").select(F.col("first").alias("src"), F.col("id").alias("dst"))
     if threshold < 0:
         return star.where("false")
+    if not banding_helps(threshold, bits):
+        return star.unionByName(dense_edges(firsts.select(F.col("first").alias("id"), "h"), threshold))
     pairs = hamming_pairs(firsts.select(F.col("first").alias("id"), "h"), threshold, bits, cheaper_near(firsts.count(), threshold, bits))
     return star.unionByName(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 

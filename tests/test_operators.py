@@ -1,5 +1,6 @@
 """Operators on small hand-made tables."""
 
+import hashlib
 import itertools
 
 import pytest
@@ -299,3 +300,27 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
                 checkpoint_root(session)
         else:
             assert checkpoint_root(session)
+
+
+@pytest.mark.parametrize("block", [40, 1000])
+@pytest.mark.parametrize("threshold", [9, 18, 24])
+def test_dense_edges_connect_what_pairs_connect(spark, threshold, block):
+    """Many small components, one large one with some outside, and one of all; in one block and in several."""
+    rows = [(i, int.from_bytes(hashlib.sha256(b"%d" % (i // 2 if i % 3 else i)).digest()[:8], "big", signed=True) ^ i % 7) for i in range(260)]
+    df = frame(spark, rows, "id long, h long").dropDuplicates(["h"])
+    firsts = [(r.id, r.h) for r in df.collect()]
+    edges = [(a, b) for (a, x), (b, y) in itertools.combinations(firsts, 2) if ((x ^ y) & (1 << 64) - 1).bit_count() <= threshold]
+    want = {r.id: r.component for r in graph.connected_components(frame(spark, edges, "src long, dst long")).collect()}
+    found = similarity.dense_edges(frame(spark, firsts, "id long, h long"), threshold, block)
+    assert {r.id: r.component for r in graph.connected_components(found).collect()} == want
+
+
+def test_edges_of_wide_thresholds_take_no_pair_join(spark, monkeypatch):
+    """At 18 of 64 bits the bands would join nearly all pairs; at 5 they are used."""
+    used = []
+    plain = similarity.hamming_pairs
+    monkeypatch.setattr(similarity, "hamming_pairs", lambda *a: used.append(a[1]) or plain(*a))
+    df = frame(spark, [(1, 0), (2, 1), (3, -1), (4, 0)], "id long, h long")
+    for threshold in (18, 5):
+        assert {(r.src, r.dst) for r in similarity.similar_edges(df, threshold).collect()} == {(1, 2), (1, 4)}
+    assert used == [5]
