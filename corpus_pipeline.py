@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from shoebox.llm._common import ASCII_LOWER, ASCII_UPPER, NULL_ID, bound_batches
 from shoebox.llm.exact_dedup import exact_dedup
-from shoebox.llm.ngram_join import jaccard_components
+from shoebox.llm.ngram_join import jaccard_components, sieve
 from shoebox.llm.packing import packed_digests
 from shoebox.llm.suffix_dedup import remove_repeats
 from shoebox.llm.toxicity import fit, score_column
-from shoebox.operators.scratch import materialise
+from shoebox.operators.scratch import drop_but_last, materialise, noted
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -46,10 +46,14 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the first, by doc_id, stays."""
-    found = jaccard_components(docs.select("doc_id", "text")).where("first").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("kept_id"), F.col("row").alias("kept_row"))
-    keyed = docs.withColumns({"_id": _known_id(), "_row": F.xxhash64(_known_id(), F.coalesce("text", F.lit("")))})
-    return keyed.join(found.hint("merge"), (F.col("_id") == F.col("kept_id")) & (F.col("_row") == F.col("kept_row")), "left_semi").select(*COLUMNS)
+    """Of each component of linked documents the first, by doc_id, stays. Only rows that a sieve takes for one of those that go are
+    shuffled, to be joined exactly; the others, nearly all, stay where they are."""
+    gone = jaccard_components(docs.select("doc_id", "text")).where("NOT first").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("gone_id"), F.col("row").alias("gone_row"))
+    gone = materialise(gone, "pipeline-gone")
+    keyed = docs.withColumns({"_id": _known_id(), "row": F.xxhash64(_known_id(), F.coalesce("text", F.lit("")))})
+    suspect = sieve(gone.select(F.col("gone_row").alias("row")))
+    judged = keyed.where(suspect).join(gone.hint("merge"), (F.col("_id") == F.col("gone_id")) & (F.col("row") == F.col("gone_row")), "left_anti")
+    return keyed.where(~suspect).unionByName(judged).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,6 +76,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    with noted() as made:
+        for name, stage in STAGES[:-1]:
+            docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            drop_but_last(spark, made)
     return STAGES[-1][1](spark, docs, sf_dir)

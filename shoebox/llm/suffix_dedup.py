@@ -548,6 +548,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     anchors = by_bucket(arrow_map(source.select("uid", "text"), partial(_find_anchors, buckets=n, chunk=chunk), rows))
     repeated = arrow_map(by_bucket(arrow_map(anchors, partial(_repeated_grams, buckets=n), rows)), partial(_gather, width=3, keys=1), "of_uid long, blob binary")
+    repeated = materialise(repeated, "suffix-repeated")  # the anchors' shuffle files go before the texts' are written
     # both joins read the texts by uid: one exchange serves both
     contexts = source.join(repeated.hint("merge"), F.col("uid") == F.col("of_uid")).select("doc_id", "uid", "text", "blob")
     merged = arrow_map(by_bucket(arrow_map(contexts, lambda b: _cut_contexts(b, n, hot), rows)), partial(_merge, buckets=n), rows)

@@ -4,8 +4,10 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as p
+from shoebox.operators.scratch import materialise, noted
 
 from .conftest import prose
 from .test_dedup import LOW, brute_repeats, key, linked
@@ -73,3 +75,43 @@ def test_run_and_empty_table(spark, none, tmp_path):
     none.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert p.run(spark, str(tmp_path)).count() == 0
+
+
+def shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f for top in folders for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    """A table that is written needs no shuffle files any more, whether or not the driver collects its garbage."""
+    before = shuffle_files(spark)
+    counted = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count()
+    assert materialise(counted, "no-files").count() == 10
+    names = {f.split("_")[1] for f in shuffle_files(spark) - before}
+    assert len(names) <= 1  # that of the count above, which isn't written
+
+
+def test_near_copies_shuffles_few_texts(spark, monkeypatch):
+    """Documents that stay aren't dealt out; null ids, ids of several texts and repeated rows are judged as before."""
+    rnd = random.Random(12)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(i, prose(rnd, 40)) for i in range(300)] + [(300, " ".join(base)), (7, " ".join([*base[:59], "x"])), (7, prose(rnd, 30)), (None, " ".join(["y", *base[1:]])), (301, " ".join(base)), (301, "")]
+    seen, plain = [], p.sieve
+
+    def counted(gone):
+        suspect = plain(gone)
+        keyed = docs_of(spark, rows).withColumn("row", F.xxhash64(F.coalesce("doc_id", F.lit(p.NULL_ID)), F.coalesce("text", F.lit(""))))
+        seen.append(keyed.where(suspect).count())
+        return suspect
+
+    monkeypatch.setattr(p, "sieve", counted)
+    got = rows_of(p.near_copies(spark, docs_of(spark, rows), None))
+    # the null id ranks first and stands for its component
+    assert sorted(got, key=str) == sorted([*rows[:300], rows[302], rows[303], rows[305]], key=str) and 3 <= seen[0] < 10
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="fixture tables are not here")
+def test_run_leaves_one_table(spark):
+    with noted() as made:
+        p.run(spark, DATA)
+    assert len(made) == 1 and "pipeline-suffix_dedup" in made[0]
