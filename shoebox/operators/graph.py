@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from .scratch import materialise
 
 MAX_ROUNDS = 60
+ID_ROUNDS = 3
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(id, component) for every vertex of an edge list; component is the smallest id of the component.
 
     Each round sends a vertex to the member of its closed neighbourhood that ranks first and keeps the edges between different
-    targets. The first round ranks by id, which settles stars around a smallest id at once whatever their size; the others by a hash,
-    another one each round, which makes the expected number of edges of long chains shrink by a constant factor, so rounds grow with
+    targets. The first rounds rank by id, which settles trees of as many steps around a smallest id whatever their size; the others by a
+    hash, another one each round, which makes the expected number of edges of long chains shrink by a constant factor, so rounds grow with
     the logarithm of the input. Vertex tables of all rounds are composed at the end. Edges are pre-aggregated before each shuffle; nothing is collected.
     Self-loops make a vertex; null ends are ignored; repeated edges are harmless.
     """
@@ -24,7 +25,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     maps = []
     for turn in range(MAX_ROUNDS):
         both = e.select("a", "b").union(e.select("b", "a")).union(e.select("a", F.col("a").alias("b"))).union(e.select(F.col("b").alias("a"), "b"))
-        rank = F.struct((F.xxhash64("b", F.lit(turn)) if turn else F.col("b")).alias("key"), F.col("b"))
+        rank = F.struct((F.xxhash64("b", F.lit(turn)) if turn >= ID_ROUNDS else F.col("b")).alias("key"), F.col("b"))
         step = materialise(both.groupBy(F.col("a").alias("v")).agg(F.min(rank).getField("b").alias("to")), "cc-step")
         maps.append(step)
         moved = (

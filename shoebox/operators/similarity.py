@@ -75,21 +75,25 @@ def _edge_batches(src: list, dst: list):
 
 
 def _forests(batches, threshold: int):
-    """Rows (ids, hs), one for each block, to edges that connect what is connected in the block. A signature is compared only with
-    those that no component has yet, so a block of one large component takes far fewer comparisons than it has pairs."""
+    """Rows (ids, hs), one for each block, to edges that connect what is connected in the block: stars around the smallest ids, which
+    settle in few rounds. A signature is compared only with those that no component has yet, so a block of one large component
+    takes far fewer comparisons than it has pairs."""
     for batch in batches:
         for ids, hs in _columns(batch, "ids", "hs"):
             src, dst, rest = [], [], np.arange(len(ids))
             while len(rest):
                 waiting, rest = rest[:1], rest[1:]
+                tied = [waiting]
                 while len(waiting) and len(rest):
                     now, waiting = waiting[:STEP], waiting[STEP:]
-                    near = _near(hs[now], hs[rest], threshold)
-                    hit = near.any(axis=0)
+                    hit = _near(hs[now], hs[rest], threshold).any(axis=0)
                     if hit.any():
-                        src.append(ids[now[near[:, hit].argmax(axis=0)]])
-                        dst.append(ids[rest[hit]])
+                        tied.append(rest[hit])
                         waiting, rest = np.concatenate([waiting, rest[hit]]), rest[~hit]
+                if len(tied) > 1:
+                    of = ids[np.concatenate(tied)]
+                    dst.append(of[of != of.min()])
+                    src.append(np.full(len(dst[-1]), of.min()))
             yield from _edge_batches(src, dst)
 
 

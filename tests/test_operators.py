@@ -324,3 +324,14 @@ def test_edges_of_wide_thresholds_take_no_pair_join(spark, monkeypatch):
     for threshold in (18, 5):
         assert {(r.src, r.dst) for r in similarity.similar_edges(df, threshold).collect()} == {(1, 2), (1, 4)}
     assert used == [5]
+
+
+def test_blocks_give_stars_that_settle_in_few_rounds(spark, monkeypatch):
+    """Signatures in a chain, each a bit from the next, with repeats: a block's edges are stars, whose repeats hang one step further."""
+    rows = [(i, (1 << i) - 1) for i in range(60)] + [(100 + i, (1 << i) - 1) for i in range(0, 60, 7)]
+    df = frame(spark, rows, "id long, h long")
+    assert {r.src for r in similarity.dense_edges(df.where("id < 100"), 18).collect()} == {0}
+    rounds, plain = [], graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, name: rounds.append(name) or plain(df, name))
+    got = {r.id: r.component for r in graph.connected_components(similarity.similar_edges(df, 18)).collect()}
+    assert got == {i: 0 for i, _ in rows} and rounds.count("cc-step") == 2
